@@ -144,7 +144,7 @@ def build_nodes(toks: DataFrame) -> DataFrame:
         .selectExpr("*", "key < 0 as is_kid", "if(key < 0, -key - 1, key) as node_id")
         .groupBy("page_id", "node_id")
         .agg(
-            *_exprs(
+            *exprs(
                 f"max(if(part = 'child' and not is_kid, {node}, null)) as n",
                 "max(if(part = 'close', struct(pos, ends), null)) as closer",
                 "max(if(part = 'extent', struct(pos, ends), null)) as extent",
@@ -170,7 +170,7 @@ def build_nodes(toks: DataFrame) -> DataFrame:
     )
 
 
-def _exprs(*sql: str) -> list:
+def exprs(*sql: str) -> list:
     from pyspark.sql import functions as F
 
     return [F.expr(s) for s in sql]
@@ -209,7 +209,7 @@ def assemble(rows: DataFrame, keys: list[str], parts: str, name: str) -> DataFra
         rows.selectExpr(*keys, f"explode_outer({parts}) as piece")
         .filter("piece is not null")
         .groupBy(*keys)
-        .agg(*_exprs("array_sort(collect_list(piece)) as pieces"))
+        .agg(*exprs("array_sort(collect_list(piece)) as pieces"))
         .selectExpr(*keys, f"array_join(transform(pieces, p -> p.html), '') as {name}")
     )
 
