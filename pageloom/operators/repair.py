@@ -16,9 +16,6 @@ from pageloom.functions.markup import NO_ATTRS, attr, attrs_of
 from pageloom.functions.vocab import NO_MEDIA_TEXT, PICTURE_TYPES
 from pageloom.operators.tree import BEFORE, UPTO, exprs, last, over
 
-KEPT = "page_id", "node_id", "end_id", "parent_id", "kind", "tag", "tok", "attrs", "parent_tag", "wrapper_id", "inner"
-
-
 def node_order(frame: str = "") -> str:
     return over(frame, order="node_id")
 
@@ -59,26 +56,22 @@ def replace_media(nodes: DataFrame, priority: Sequence[str] = PICTURE_TYPES) ->
 
 def unwrap_images(nodes: DataFrame) -> DataFrame:
     """Put an image inside the known double wrapper in the place of the outer wrapper."""
-    wrappers = (
-        nodes.filter("tag = 'img' and wrapper_id is not null")
-        .groupBy("page_id", "wrapper_id")
-        .agg(*exprs("count(*) as n_images"))
-        .withColumnRenamed("wrapper_id", "node_id")
-    )
     keep = "(tag = 'img' and wrapper_id is not null)"
+    # An image and its wrapper share a window, so the wrapper learns of the image without a join.
+    members = f"over (partition by page_id, if({keep}, wrapper_id, node_id))"
     return (
-        nodes.join(wrappers, ["page_id", "node_id"], "left")
+        nodes.selectExpr("*", f"not {keep} and max(if({keep}, 1, 0)) {members} = 1 as is_outer")
         .selectExpr(
             "*",
-            f"{inside('n_images is not null')} as gone",
-            f"{last('if(n_images is not null, struct(parent_id, parent_tag), null)', node_order(BEFORE))} as outer",
+            f"{inside('is_outer')} as gone",
+            f"{last('if(is_outer, struct(parent_id, parent_tag), null)', node_order(BEFORE))} as outer",
+        )
+        .filter(f"not is_outer and (not gone or {keep})")
+        .selectExpr(
+            "page_id", "node_id", "end_id",
+            f"if({keep} and gone, outer.parent_id, parent_id) as parent_id", "kind", "tag", "tok", "attrs",
+            f"if({keep} and gone, outer.parent_tag, parent_tag) as parent_tag", "wrapper_id", "inner",
         )
-        .filter(f"n_images is null and (not gone or {keep})")
-        .withColumns(dict(zip(("parent_id", "parent_tag"), exprs(
-            f"if({keep} and gone, outer.parent_id, parent_id)",
-            f"if({keep} and gone, outer.parent_tag, parent_tag)",
-        ))))
-        .select(*KEPT)
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.functions import naming
@@ -16,14 +15,14 @@ from pageloom.operators.tree import assemble, build_nodes
 from pageloom.session import tune
 from pageloom.sources import sinks
 from pageloom.sources.pages import with_requests
+from pageloom.sources.stages import Stages
 
 
 class Corpus:
     """Tables derived from one page table; each is built on first use.
 
-    ``nodes``, ``repaired`` and ``content`` feed several tables. They are persisted to local disk (memory first),
-    keep their page clustering, and are rebuilt from the scan if an executor is lost. Call ``release`` when
-    the outputs are written.
+    Steps that feed several tables are kept as stages (``pageloom.sources.stages``): tables in the cluster's
+    shared folder, bucketed by page, so what is built on them shuffles nothing by page again.
 
     ``meta`` may supply ``page_id, published_time, byline, site_name`` that override what pages say.
     """
@@ -40,7 +39,6 @@ class Corpus:
         version: int = 3,
         show_toc: bool = False,
         per_figure: bool = False,
-        storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
         clustered: bool = False,
     ) -> None:
         self.spark = tune(spark)
@@ -48,17 +46,11 @@ class Corpus:
         self.run_ts = f"timestamp_ntz '{run_ts}'"
         self.requests, self.formats, self.meta_override = requests, formats, meta
         self.defaults, self.version, self.show_toc, self.per_figure = defaults, version, show_toc, per_figure
-        self.storage, self.clustered = storage, clustered
-        self._kept: list[DataFrame] = []
-
-    def _keep(self, rows: DataFrame) -> DataFrame:
-        self._kept.append(rows.persist(self.storage))
-        return self._kept[-1]
+        self.clustered = clustered
+        self.stages = Stages(self.spark)
 
     def release(self) -> None:
-        for rows in self._kept:
-            rows.unpersist()
-        self._kept.clear()
+        self.stages.release()
         for name in [n for n in vars(self) if isinstance(getattr(type(self), n, None), cached_property)]:
             del self.__dict__[name]
 
@@ -68,15 +60,15 @@ class Corpus:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._keep(build_nodes(self.tokens))
+        return self.stages.keep(build_nodes(self.tokens), "nodes")
 
     @cached_property
     def repaired(self) -> DataFrame:
-        return self._keep(repair.repair(self.nodes, per_figure=self.per_figure))
+        return self.stages.keep(repair.repair(self.nodes, per_figure=self.per_figure), "repaired")
 
     @cached_property
     def options(self) -> DataFrame:
-        return with_requests(self.pages, self.requests, self.defaults)
+        return self.stages.keep(with_requests(self.pages, self.requests, self.defaults), "options")
 
     @cached_property
     def roots(self) -> DataFrame:
@@ -90,7 +82,7 @@ class Corpus:
     @cached_property
     def content(self) -> DataFrame:
         urls = self.pages.select("page_id", "url")
-        return self._keep(extract.with_family(extract.resolve_links(self.raw_content, urls)))
+        return self.stages.keep(extract.with_family(extract.resolve_links(self.raw_content, urls)), "content")
 
     @cached_property
     def chosen(self) -> DataFrame | None:
@@ -99,7 +91,7 @@ class Corpus:
     @cached_property
     def outcomes(self) -> DataFrame:
         found = embeds.find_embeds(self.content).join(self.options.select("page_id", "download_media"), "page_id")
-        return embeds.embed_outcomes(found, self.chosen)
+        return self.stages.keep(embeds.embed_outcomes(found, self.chosen), "outcomes")
 
     @cached_property
     def markup(self) -> DataFrame:
@@ -114,7 +106,7 @@ class Corpus:
     @cached_property
     def cleaned(self) -> DataFrame:
         rows = clean.clean_attributes(self.embedded)
-        return clean.legacy_tags(rows) if self.version == 2 else rows
+        return self.stages.keep(clean.legacy_tags(rows) if self.version == 2 else rows, "cleaned")
 
     @cached_property
     def html(self) -> DataFrame:
@@ -145,7 +137,7 @@ class Corpus:
     @cached_property
     def judged(self) -> DataFrame:
         """One row per page with all article columns and a ``stage``/``reason`` where it is rejected."""
-        text = extract.article_text(self.raw_content)
+        text = extract.article_text(self.content)
         failed = self.outcomes.filter("action = 'reject'").select("page_id").distinct().selectExpr("page_id", "true as failed")
         rows = (
             self.options.join(self.meta, "page_id", "left")
@@ -167,7 +159,7 @@ class Corpus:
             f" when cover is not null and {known_cover} is null then 'book: unknown cover type'"
             " when published_at is null then 'create: invalid date' end"
         )
-        return rows.selectExpr("*", f"{reason} as verdict")
+        return self.stages.keep(rows.selectExpr("*", f"{reason} as verdict"), "judged")
 
     @cached_property
     def rejects(self) -> DataFrame:
@@ -191,7 +183,7 @@ class Corpus:
                 f" 'fetched', {naming.http_date(run)}, 'hash', content_sha256) as provenance",
             )
         )
-        return latest_per_key(rows, "output_path", "page_id", "page_id")
+        return self.stages.keep(latest_per_key(rows, "output_path", "page_id", "page_id"), "articles")
 
     @cached_property
     def books(self) -> DataFrame:
@@ -204,9 +196,9 @@ class Corpus:
     @cached_property
     def media(self) -> DataFrame:
         """Media of the accepted pages."""
-        return media.media_table(self.references, self.books.select("book_id", "cover")).join(
-            self.books.select("book_id"), "book_id", "left_semi"
-        )
+        found = media.media_table(self.references, self.books.select("book_id", "cover"))
+        accepted = found.join(self.books.select("book_id"), "book_id", "left_semi")
+        return self.stages.keep(accepted, "media", "book_id")
 
     @cached_property
     def chapters(self) -> DataFrame:
@@ -221,16 +213,10 @@ class Corpus:
         return book.navigation(self.books, self.chapters, self.show_toc, version=self.version)
 
     def write(self, folder: str, by_site: bool = False) -> None:
-        """Write every output table below ``folder``, articles first.
-
-        The book tables then start from the written articles, which cuts the lineage at a table in shared
-        storage.
-        """
+        """Write every output table below ``folder``."""
         sinks.write_articles(self.articles, f"{folder}/articles", by_site)
-        self.__dict__["articles"] = self.spark.read.parquet(f"{folder}/articles")
         sinks.write_table(self.rejects, f"{folder}/rejects")
         sinks.write_table(self.media, f"{folder}/media")
-        self.__dict__["media"] = self.spark.read.parquet(f"{folder}/media")
         sinks.write_table(self.chapters, f"{folder}/chapters")
         sinks.write_table(self.manifest, f"{folder}/manifest")
         sinks.write_table(self.navigation, f"{folder}/navigation")

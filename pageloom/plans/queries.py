@@ -36,7 +36,7 @@ def query(fn: Query) -> Query:
 
 
 def _corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
-    """Corpora share their persisted stages between the queries of a session."""
+    """Corpora share their stages between the queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _CORPORA:
         if kind == "rich":
@@ -57,7 +57,7 @@ def _corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
 
 
 def release_all() -> None:
-    """Free the persisted stages of every corpus."""
+    """Drop the stages of every corpus."""
     for corpus in _CORPORA.values():
         corpus.release()
     _CORPORA.clear()
@@ -122,14 +122,14 @@ def page_roundtrip(spark, sf_dir):
 
 @query
 def article_text_hash(spark, sf_dir):
-    text = extract.article_text(_corpus(spark, sf_dir, "plain").raw_content)
+    text = extract.article_text(_corpus(spark, sf_dir, "plain").content)
     return text.selectExpr("page_id", "length(text_content) as n_chars", "sha2(text_content, 256) as content_sha256")
 
 
 @query
 def site_rollup(spark, sf_dir):
     corpus = _corpus(spark, sf_dir, "plain")
-    text = extract.article_text(corpus.raw_content).selectExpr("page_id", "sha2(text_content, 256) as content_sha256")
+    text = extract.article_text(corpus.content).selectExpr("page_id", "sha2(text_content, 256) as content_sha256")
     rows = _dated_pages(spark, sf_dir).join(text, "page_id", "left")
     return rollup.site_rollup(rows).selectExpr(
         "site", "n_articles", "n_texts", "cast(first_at as string) as first_at", "cast(last_at as string) as last_at"
@@ -140,7 +140,7 @@ def site_rollup(spark, sf_dir):
 def duplicate_articles(spark, sf_dir):
     """Groups of pages with one text, over the pages and their damaged copies."""
     corpus = _corpus(spark, sf_dir, "bad")
-    text = extract.article_text(corpus.raw_content).selectExpr("page_id", "sha2(text_content, 256) as content_sha256")
+    text = extract.article_text(corpus.content).selectExpr("page_id", "sha2(text_content, 256) as content_sha256")
     return rollup.duplicate_groups(text)
 
 
