@@ -1,5 +1,3 @@
-import pytest
-
 from pageloom.functions.markup import attr
 from pageloom.operators import repair
 from pageloom.operators.tokens import tokens
@@ -11,19 +9,21 @@ def nodes_of(pages, *html):
     return build_nodes(tokens(pages(*html)))
 
 
-def choice(pages, html):
-    row = repair.media_sources(nodes_of(pages, html)).filter("tag in ('picture', 'video')").first()
-    return tuple(row.choice) if row.choice else None
+def choices(pages, tag, inners):
+    rows = repair.media_sources(nodes_of(pages, *[f"<{tag}>{i}</{tag}>" for i in inners])).filter(f"tag = '{tag}'")
+    found = {r.page_id: tuple(r.choice) if r.choice else None for r in rows.collect()}
+    return [found[i] for i in range(len(inners))]
 
 
-def repaired(pages, html, **options):
-    rows = repair.repair(nodes_of(pages, html), **options).selectExpr("*", "cast(null as string) as instead", "cast(null as string) as after")
-    return assemble(rows, ["page_id"], content_parts(), "html").first().html
+def repaired(pages, *html, **options):
+    rows = repair.repair(nodes_of(pages, *html), **options).selectExpr(
+        "*", "cast(null as string) as instead", "cast(null as string) as after"
+    )
+    made = {r.page_id: r.html for r in assemble(rows, ["page_id"], content_parts(), "html").collect()}
+    return made[0] if len(html) == 1 else [made[i] for i in range(len(html))]
 
 
-@pytest.mark.parametrize(
-    "inner, wanted",
-    [
+PICTURES = [
         ('<source type="image/png" srcset="a 1x, b 2x">', ("b", None)),
         # A usable image ends the search and wins.
         ('<source srcset="a"><img src="b" alt="t"><source srcset="c">', ("b", "t")),
@@ -46,24 +46,24 @@ def repaired(pages, html, **options):
         ('<source type="image/png" srcset="x.m3u8"><source type="image/webp" srcset="w">', ("w", None)),
         ('<source srcset="a 1x,">', None),
         ("text only", None),
-    ],
-)
-def test_picture_choice(pages, inner, wanted):
-    assert choice(pages, f"<picture>{inner}</picture>") == wanted
+]
+
 
+def test_picture_choice(pages):
+    assert choices(pages, "picture", [c[0] for c in PICTURES]) == [c[1] for c in PICTURES]
 
-@pytest.mark.parametrize(
-    "inner, wanted",
-    [
+
+VIDEOS = [
         ('<source src="a.m3u8"><source src="b.mp4">', ("b.mp4", None)),
         ('<source src="a" type="x"><source src="b" type="y">', ("a", None)),
         ('<source src="a"><img src="b">', None),
         ('<source src="a"><p>x</p>', None),
         ('<source src="a">fallback', ("a", None)),
-    ],
-)
-def test_video_choice(pages, inner, wanted):
-    assert choice(pages, f"<video>{inner}</video>") == wanted
+]
+
+
+def test_video_choice(pages):
+    assert choices(pages, "video", [c[0] for c in VIDEOS]) == [c[1] for c in VIDEOS]
 
 
 def test_video_with_own_source_stays(pages):
@@ -91,13 +91,13 @@ def test_wrapper_around_a_picture(pages):
 
 
 def test_wrapper_needs_both_classes_in_place(pages):
-    for html in (
+    kept = [
         '<div class="image-wrapper"><img src="a"></div>',
         '<div class="mediaplay-image"><img src="a"></div>',
         '<div class="mediaplay-image"><p class="image-wrapper"><b><img src="a"></b></p></div>',
         '<div class="mediaplay-images"><div class="image-wrapper"><img src="a"></div></div>',
-    ):
-        assert repaired(pages, html) == html
+    ]
+    assert repaired(pages, *kept) == kept
 
 
 PLACEHOLDER = '<img src="/placeholder.png" alt="">'

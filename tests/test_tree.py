@@ -1,5 +1,3 @@
-import pytest
-
 from pageloom.operators.tokens import attributes, tokens
 from pageloom.operators.tree import build_nodes, serialize
 
@@ -28,13 +26,12 @@ def test_tokens_drop_comments_and_scripts(pages):
     assert [r.tok for r in tokens(pages(html)).orderBy("pos").collect()] == ["<p>", "x", "</p>"]
 
 
-@pytest.mark.parametrize(
-    "html",
-    ["<p" + ' a="1"' * 3000 + ">x</p>", "<a " * 3000, '<a b="' * 2000, "<" * 5000, "<p>" + "x" * 200000 + "</p>", "<a = = = " * 500],
-)
-def test_tokens_survive_hostile_pages(pages, html):
-    rows = tokens(pages(html)).orderBy("pos").collect()
-    assert "".join(r.tok for r in rows) == html
+def test_tokens_survive_hostile_pages(pages):
+    html = [
+        "<p" + ' a="1"' * 3000 + ">x</p>", "<a " * 3000, '<a b="' * 2000, "<" * 5000, "<p>" + "x" * 200000 + "</p>", "<a = = = " * 500,
+    ]
+    rows = tokens(pages(*html)).orderBy("page_id", "pos").collect()
+    assert ["".join(r.tok for r in rows if r.page_id == i) for i in range(len(html))] == html
 
 
 def test_empty_pages_give_no_rows(pages):
@@ -83,12 +80,12 @@ def test_open_container_inside_a_closed_one(pages):
     ]
 
 
-@pytest.mark.parametrize(
-    "html",
-    ["<div><p>a<b>c</b></p> <img src='x'></div>", "<ul><li><p>a</p><ul><li>b</li></ul></li></ul>", "text<br>more", "<a href=x><div>y</div></a>"],
-)
-def test_round_trip(pages, html):
-    assert html_of(pages, html) == html
+def test_round_trip(pages):
+    html = [
+        "<div><p>a<b>c</b></p> <img src='x'></div>", "<ul><li><p>a</p><ul><li>b</li></ul></li></ul>", "text<br>more", "<a href=x><div>y</div></a>",
+    ]
+    made = {r.page_id: r.html for r in serialize(build_nodes(tokens(pages(*html)))).collect()}
+    assert [made[i] for i in range(len(html))] == html
 
 
 def test_only_and_last_child(pages):
