@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.functions import naming
 from pageloom.functions.urls import short_host
+from pageloom.functions.vocab import ALLOWED_ATTRIBUTES, PICTURE_TYPES
 from pageloom.operators import book, clean, downloads, embeds, extract, media, repair
 from pageloom.operators.lookup import latest_per_key
 from pageloom.operators.tokens import tokens
@@ -24,6 +26,9 @@ class Corpus:
     Steps that feed several tables are kept as stages (``pageloom.sources.stages``): tables in the cluster's
     shared folder, bucketed by page, so what is built on them shuffles nothing by page again.
 
+    ``rewrites`` are functions over the cleaned content rows, run in order. ``keep_attribute`` is a SQL condition on
+    ``a.name``, ``a.value`` and ``tag`` that exempts attributes from the sanitizer.
+
     ``meta`` may supply ``page_id, published_time, byline, site_name`` that override what pages say.
     """
 
@@ -39,6 +44,10 @@ class Corpus:
         version: int = 3,
         show_toc: bool = False,
         per_figure: bool = False,
+        picture_types: Sequence[str] = PICTURE_TYPES,
+        allowed_attributes: Sequence[str] = ALLOWED_ATTRIBUTES,
+        keep_attribute: str = "false",
+        rewrites: Sequence[Callable[[DataFrame], DataFrame]] = (),
         clustered: bool = False,
     ) -> None:
         self.spark = tune(spark)
@@ -46,6 +55,8 @@ class Corpus:
         self.run_ts = f"timestamp_ntz '{run_ts}'"
         self.requests, self.formats, self.meta_override = requests, formats, meta
         self.defaults, self.version, self.show_toc, self.per_figure = defaults, version, show_toc, per_figure
+        self.picture_types, self.allowed_attributes = picture_types, allowed_attributes
+        self.keep_attribute, self.rewrites = keep_attribute, rewrites
         self.clustered = clustered
         self.stages = Stages(self.spark)
 
@@ -64,7 +75,7 @@ class Corpus:
 
     @cached_property
     def repaired(self) -> DataFrame:
-        return self.stages.keep(repair.repair(self.nodes, per_figure=self.per_figure), "repaired")
+        return self.stages.keep(repair.repair(self.nodes, self.picture_types, self.per_figure), "repaired")
 
     @cached_property
     def options(self) -> DataFrame:
@@ -86,7 +97,10 @@ class Corpus:
 
     @cached_property
     def chosen(self) -> DataFrame | None:
-        return None if self.formats is None else downloads.walk_attempts(self.formats, "cap")
+        """Outcome per address; the cap is a column of ``formats``, or none."""
+        if self.formats is None:
+            return None
+        return downloads.walk_attempts(self.formats, "cap" if "cap" in self.formats.columns else "null")
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -105,7 +119,9 @@ class Corpus:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        rows = clean.clean_attributes(self.embedded)
+        rows = clean.clean_attributes(self.embedded, self.allowed_attributes, self.keep_attribute)
+        for rewrite in self.rewrites:
+            rows = rows.transform(rewrite)
         return self.stages.keep(clean.legacy_tags(rows) if self.version == 2 else rows, "cleaned")
 
     @cached_property

@@ -35,6 +35,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("PAGELOOM_DRIVER_MEMORY", memory))
         .config("spark.ui.enabled", "false")
+        # The job compiles a few hundred classes; the default of 100 throws them out before they are used again.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in RUNTIME_CONF.items():
