@@ -9,16 +9,17 @@ from pageloom.functions.markup import RAW_TEXT, TOKEN, parse_attrs, tag_name
 from pageloom.functions.vocab import VOID_TAGS
 
 
-def cluster_by_page(pages: DataFrame) -> DataFrame:
+def cluster_by_page(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Strip comments and raw-text elements, then hash-partition the pages by id.
 
     This is the only exchange the tree steps need: every later window, aggregation and join is keyed by
     ``page_id`` first. Scripts and styles are gone before the bytes move.
     """
-    return pages.selectExpr("page_id", f"regexp_replace(html, {RAW_TEXT}, '') as body").repartition("page_id")
+    stripped = pages.selectExpr("page_id", f"regexp_replace(html, {RAW_TEXT}, '') as body")
+    return stripped.repartition(partitions, "page_id") if partitions else stripped.repartition("page_id")
 
 
-def tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
+def tokens(pages: DataFrame, clustered: bool = False, partitions: int | None = None) -> DataFrame:
     """``page_id, pos, n_tokens, tok, kind, tag``; positions are dense and follow the document.
 
     ``kind`` is open, close, void, text or decl. Pass ``clustered=True`` when the pages come from a table
@@ -27,7 +28,7 @@ def tokens(pages: DataFrame, clustered: bool = False) -> DataFrame:
     if clustered:
         pages = pages.selectExpr("page_id", f"regexp_replace(html, {RAW_TEXT}, '') as body")
     else:
-        pages = cluster_by_page(pages)
+        pages = cluster_by_page(pages, partitions)
     return (
         pages.selectExpr("page_id", f"regexp_extract_all(body, {TOKEN}, 0) as toks")
         # The outer form keeps Catalyst from adding a size filter that would cut every page a second time.

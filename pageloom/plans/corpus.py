@@ -17,7 +17,7 @@ from pageloom.operators.tree import assemble, build_nodes
 from pageloom.session import tune
 from pageloom.sources import sinks
 from pageloom.sources.pages import with_requests
-from pageloom.sources.stages import Stages
+from pageloom.sources.stages import Stages, partitions_for
 
 
 class Corpus:
@@ -49,6 +49,7 @@ class Corpus:
         keep_attribute: str = "false",
         rewrites: Sequence[Callable[[DataFrame], DataFrame]] = (),
         clustered: bool = False,
+        partitions: int | None = None,
     ) -> None:
         self.spark = tune(spark)
         self.pages = pages
@@ -58,7 +59,8 @@ class Corpus:
         self.picture_types, self.allowed_attributes = picture_types, allowed_attributes
         self.keep_attribute, self.rewrites = keep_attribute, rewrites
         self.clustered = clustered
-        self.stages = Stages(self.spark)
+        self.partitions = partitions or partitions_for(pages.select("page_id", "html"))
+        self.stages = Stages(self.spark, self.partitions)
 
     def release(self) -> None:
         self.stages.release()
@@ -67,7 +69,7 @@ class Corpus:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return tokens(self.pages, self.clustered)
+        return tokens(self.pages, self.clustered, self.partitions)
 
     @cached_property
     def nodes(self) -> DataFrame:

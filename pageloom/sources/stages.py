@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Cutting a page into tokens multiplies its rows, so partitions hold few bytes of page files.
+PARTITION_BYTES = 16 << 20
+MAX_PARTITIONS = 100_000  # Spark's own limit for buckets
+UNKNOWN_SIZE = 1 << 60
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,19 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def partitions_for(rows: DataFrame) -> int:
+    """Number of partitions for page rows, from the size of the files they are read from.
+
+    At least one per core. Where Spark does not know the size, the session's shuffle partitions.
+    """
+    spark = rows.sparkSession
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= UNKNOWN_SIZE:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism), MAX_PARTITIONS)
+
+
 class Stages:
-    """Bucketed tables of one run."""
+    """Bucketed tables of one run, all with the same number of buckets."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, buckets: int) -> None:
         self.spark = spark
         self.run = uuid.uuid4().hex[:12]
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.buckets = buckets
         self.tables: list[str] = []
 
     def keep(self, rows: DataFrame, name: str, key: str = "page_id") -> DataFrame:
         table = f"pageloom_{name}_{self.run}"
+        # One file per bucket. Spark removes this exchange where the rows are partitioned like that already.
         (
-            rows.write.format("parquet")
+            rows.repartition(self.buckets, key)
+            .write.format("parquet")
             .mode("overwrite")
             .bucketBy(self.buckets, key)
             .option("path", f"{shared_folder(self.spark)}/pageloom/{self.run}/{name}")
