@@ -17,6 +17,8 @@ SETTING = "spark.checkpoint.dir"
 PARTITION_BYTES = 16 << 20
 MAX_PARTITIONS = 100_000  # Spark's own limit for buckets
 UNKNOWN_SIZE = 1 << 60
+# The setting cannot be changed in a running session, so a test session's folder is remembered here.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,9 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="pageloom-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="pageloom-")
+    return _LOCAL_FOLDERS[app]
 
 
 def partitions_for(rows: DataFrame) -> int:
