@@ -277,6 +277,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     keyed = rows.select(
         "*",
         F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias(KEY),
-        F.xxhash64("text").cast("string").substr(-9, 9).cast("int").alias(TAG),
+        F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias(TAG),
     )
     return repeated_windows(keyed, window).mapInArrow(_cutter(window, to_arrow_schema(result)), result)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 SEGMENT = 1 << 18
 NO_WORD = np.uint64(0)
 
