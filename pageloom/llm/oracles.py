@@ -41,7 +41,29 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)
+),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, seen) AS (SELECT a, b FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.seen = e.a),
+least_seen AS (SELECT doc_id, min(seen) AS seen FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.seen, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(l.seen, d.doc_id)) AS kept
+FROM d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_seen l USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_decontamination": DECONTAMINATION,
+    "op6_near_dedup": NEAR_DEDUP,
 }

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm import factors, trees
 from pageloom.llm.contamination import contaminated, find_contamination
-from pageloom.llm.frames import read
+from pageloom.llm.frames import read, remainder
+from pageloom.llm.near import near_duplicates
 from pageloom.llm.repeats import dedup_substrings
 
 
@@ -27,7 +29,28 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=75, shingle=5)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = factors.train(docs, read(spark, sf_dir, "labels"), "quality", learn="crc32(cast(doc_id as string)) % 4 <> 2")
+    held_out, predicted = (remainder("doc_id", 4) == 2).alias("held_out"), (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return factors.score_quality(docs, machine).select("doc_id", held_out, "score", predicted)
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = trees.train(docs, read(spark, sf_dir, "labels"), "quality")
+    return trees.quality_rules(docs, fitted, least_words=10, repeat_percent=20).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
+    "op3_quality_classifier": quality_classifier,
     "op4_decontamination": decontamination,
+    "op6_near_dedup": near_dedup,
+    "op7_quality_rules": quality_rules,
 }
