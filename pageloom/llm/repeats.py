@@ -122,7 +122,7 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
     final = level == len(lengths) - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, piece in enumerate(W.pieces(batches)):
+        for piece in W.pieces(batches):
             piece = _sorted_by_key(piece)
             w = W.words(_column(piece, "text"))
             h = W.hashes(w)
@@ -153,7 +153,7 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
             rows = _packed_rows(bucket[sent], doc[sent], place[sent], keys, tags, {c: v[sent] for c, v in more.items()})
             known = np.sort(at[~first])
             if len(known):
-                whole = np.full(len(known), number % buckets)
+                whole = np.full(len(known), int(value[0] % np.uint64(buckets)))
                 for c, v in _packed_rows(whole, w.doc()[known], w.position()[known], keys, tags, {}).items():
                     rows[c] += v
             yield pa.RecordBatch.from_pydict(rows, schema=_SENT_ARROW)
