@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import factors, trees
+from pageloom.llm import bpe, factors, trees
 from pageloom.llm.contamination import contaminated, find_contamination
 from pageloom.llm.frames import read, remainder
 from pageloom.llm.near import near_duplicates
@@ -47,10 +48,20 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.quality_rules(docs, fitted, least_words=10, repeat_percent=20).drop("text")
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    return bpe.decode(ids, path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op3_quality_classifier": quality_classifier,
     "op4_decontamination": decontamination,
     "op6_near_dedup": near_dedup,
     "op7_quality_rules": quality_rules,
+    "op10_byte_bpe": byte_bpe,
 }
