@@ -34,11 +34,15 @@ def without(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select([F.col(f"`{c}`") for c in rows.columns if c.lower() not in taken])
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share."""
+    return f"{shared_folder(spark)}/pageloom-llm/{uuid.uuid4().hex[:12]}/{name}"
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write rows to the cluster's shared folder and read them back."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/pageloom-llm/{uuid.uuid4().hex[:12]}/{name}"
-    schema = rows.schema
+    path, schema = new_folder(spark, name), rows.schema
     rows.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
