@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, factors, trees
+from pageloom.llm import backoff, bpe, factors, token_files, trees
 from pageloom.llm.contamination import contaminated, find_contamination
-from pageloom.llm.frames import read, remainder
+from pageloom.llm.frames import new_folder, read, remainder, text_bytes
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.repeats import dedup_substrings
 
@@ -21,6 +21,12 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = backoff.score_texts(docs, held_out="crc32(cast(doc_id as string)) % 7 = 2")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     marked = find_contamination(docs, read(spark, sf_dir, "benchmark"), window=13)
@@ -48,6 +54,13 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.quality_rules(docs, fitted, least_words=10, repeat_percent=20).drop("text")
 
 
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, shards = new_folder(spark, "tokens"), -(-text_bytes(docs) // token_files.SHARD_BYTES) + 1
+    token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1, shards=shards)
+    return token_files.checksums(token_files.read_tokens(spark, folder))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
@@ -59,9 +72,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
+    "op2_lm_scoring": lm_scoring,
     "op3_quality_classifier": quality_classifier,
     "op4_decontamination": decontamination,
     "op6_near_dedup": near_dedup,
     "op7_quality_rules": quality_rules,
+    "op9_token_output": token_output,
     "op10_byte_bpe": byte_bpe,
 }
