@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import backoff, bpe, factors, token_files, trees
+from pageloom.llm import backoff, bpe, factors, token_files, toxicity, trees
 from pageloom.llm.contamination import contaminated, find_contamination
 from pageloom.llm.frames import new_folder, read, remainder, text_bytes
 from pageloom.llm.near import near_duplicates
@@ -54,6 +54,13 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.quality_rules(docs, fitted, least_words=10, repeat_percent=20).drop("text")
 
 
+def toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels"), "toxic", learn="crc32(cast(doc_id as string)) % 5 <> 0")
+    held_out, predicted = (remainder("doc_id", 5) == 0).alias("held_out"), (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score_toxicity(docs, machine).select("doc_id", held_out, "score", predicted)
+
+
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     folder, shards = new_folder(spark, "tokens"), -(-text_bytes(docs) // token_files.SHARD_BYTES) + 1
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": decontamination,
     "op6_near_dedup": near_dedup,
     "op7_quality_rules": quality_rules,
+    "op8_toxicity": toxicity_svm,
     "op9_token_output": token_output,
     "op10_byte_bpe": byte_bpe,
 }
