@@ -31,8 +31,8 @@ from pageloom.llm.frames import without
 
 LEAF = 4096
 WINDOW = 8
-#: Matches whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+#: Matches whose ids a worker remembers, twice over.
+REMEMBERED = 300_000
 MOST_BYTES = 64 << 20
 _NONE = 1 << 60
 
@@ -44,36 +44,54 @@ class Bpe:
     ranks: dict[bytes, int]
     pattern: str
     known: dict[str, bytes] = field(default_factory=dict)
+    old: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.matches = regex.compile(self.pattern).findall
         self.tokens = {i: t for t, i in self.ranks.items()}
+        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        get = self.ranks.get
+        #: Rank of the token that two tokens, by their ranks, make together.
+        self.pairs = {
+            a << 32 | b: r
+            for t, r in self.ranks.items()
+            for i in range(1, len(t))
+            if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None
+        }
 
     def code(self, match: str) -> bytes:
         """Ids of one match of the pattern, packed as 32-bit integers."""
-        out = self.known.get(match)
-        if out is None:
-            raw = match.encode()
-            ids = [self.ranks[raw]] if raw in self.ranks else (self._short if len(raw) < 200 else self._long)(raw)
-            out = np.array(ids, np.int32).tobytes()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[match] = out
+        raw = match.encode()
+        ids = [self.ranks[raw]] if raw in self.ranks else (self._short if len(raw) < 200 else self._long)(raw)
+        return np.array(ids, np.int32).tobytes()
+
+    def codes(self, matches: list[str]) -> list[bytes]:
+        """Packed ids of all matches. When too many are remembered, those not asked for lately are dropped."""
+        if len(self.known) + len(matches) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        out = list(map(known.get, matches))
+        if None in out:
+            for i, code in enumerate(out):
+                if code is None:
+                    match = matches[i]
+                    out[i] = known[match] = known.get(match) or old.get(match) or self.code(match)
         return out
 
     def _short(self, raw: bytes) -> list[int]:
         """Merge the pair of least rank, leftmost first, until no pair has a rank."""
-        get, parts = self.ranks.get, [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [get(raw[i : i + 2], _NONE) for i in range(len(raw) - 1)]
-        while pairs and (least := min(pairs)) != _NONE:
-            i = pairs.index(least)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], _NONE)
+        get = self.pairs.get
+        parts = list(map(self.bytes.__getitem__, raw))
+        ranks = [get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            parts[i] = least
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(least << 32 | parts[i + 1], _NONE)
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
-        return [self.ranks[p] for p in parts]
+                ranks[i - 1] = get(parts[i - 1] << 32 | least, _NONE)
+        return parts
 
     def _long(self, raw: bytes) -> list[int]:
         """The same by a heap, for matches of any length."""
@@ -98,8 +116,7 @@ class Bpe:
 
     def leaf(self, text: str) -> Node:
         matches = self.matches(text)
-        known = self.known
-        return Node(matches, [known[m] if m in known else self.code(m) for m in matches])
+        return Node(matches, self.codes(matches))
 
     def join(self, left: Node, right: Node) -> Node:
         """The node of both texts, one after the other."""

@@ -8,7 +8,10 @@ the metadata without any id, is read without the rest.
 
 from __future__ import annotations
 
+import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -23,42 +26,78 @@ GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 20, 2_000
 #: Text that one shard stands for.
 SHARD_BYTES = 16 << 20
 #: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 MOST_BYTES = 64 << 20
 SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids array<int>"
+#: Letters, then other signs: a tokenizer of words splits there. Not before an apostrophe, which begins endings of its own.
+_LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#|()\"-]+)").fullmatch
+_LATIN, _LATIN_ANY = (re.compile(f"[{a}a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch for a in ("", "A-Z"))
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level tokenizers write bytes as letters: printable ones as themselves, the others in order from U+0100.
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ARROW = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 class WordCodes:
-    """Packed ids of words by a tokenizer that never looks across white space, each word encoded once and remembered."""
+    """Packed ids of words by a tokenizer that never looks across white space nor from letters into other signs.
+
+    Words are remembered in two generations: when the young one is full, the old one is dropped, so frequent words stay.
+    """
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Packed ids of a word or of one side of it."""
+        out = self.parts.get(part)
+        if out is None:
+            low = part.lower()
+            if _LATIN(low) and _LATIN_ANY(part):
+                # Plain letters are one word for the model; only its table of bytes stands before it.
+                low = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = [t.id for t in self.tokenizer.model.tokenize(low)]
+            else:
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            out = self.parts[part] = array("i", ids).tobytes()
+        return out
 
     def learn(self, words: set[str]) -> None:
-        missing = list(words - self.known.keys())
-        if len(missing) + len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-            missing = list(words - self.known.keys())
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, np.int32).tobytes()
+        """Make sure that all words are among the young."""
+        if len(self.young) + len(words) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        young, old = self.young, self.old
+        for word in words:
+            if word not in young:
+                code = old.get(word)
+                if code is None:
+                    split = _LETTERS_THEN_SIGNS(word)
+                    code = self._part(split[1]) + self._part(split[2]) if split else self._part(word)
+                young[word] = code
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Packed ids of every text with the end id; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*split))
-        find = self.known.__getitem__
+        find = self.young.__getitem__
         return [b"".join(map(find, s)) + end for s in split]
 
 
-def _encoder(definition, end: int) -> Callable:
+_WORKER: dict[str, WordCodes] = {}
+
+
+def _encoder(definition, key: str, end: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, at = WordCodes(definition.value), 0
+        if key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[key] = WordCodes(definition.value)
+        codes, at = _WORKER[key], 0
         for piece in W.pieces(batches):
             got = codes.encode(piece.column(piece.schema.get_field_index("text")).to_pylist(), np.int32(end).tobytes())
             sizes = np.array([len(g) // 4 for g in got], np.int64)
@@ -88,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )
     (
-        ordered.mapInArrow(_encoder(definition, end_id), SCHEMA)
+        ordered.mapInArrow(_encoder(definition, uuid.uuid4().hex, end_id), SCHEMA)
         .write.option("parquet.block.size", GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)

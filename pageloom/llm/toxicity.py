@@ -5,8 +5,8 @@ within a span of six, begin and end of the unit included; each character left ou
 ``idi.ot`` or ``idixot`` still shares most triples with ``idiot``. The kernel is the normalised product of two units'
 features. A sentence is as toxic as its worst unit, and a text as its worst sentence.
 
-Fitting, on a bounded sample of labelled rows (``SAMPLE``): sentences of toxic texts that hold a run of four characters
-that is significantly tied to the label are toxic sentences, all sentences of other texts are not. Landmarks are units of
+Fitting, on a bounded sample of labelled rows (``SAMPLE``): sentences of toxic texts that hold a run of four or five
+characters that is significantly tied to the label are toxic sentences, all sentences of other texts are not. Landmarks are units of
 both kinds. A machine on the kernel's Nystroem coordinates folds into one table of triple weights, as the kernel is a product
 of explicit features; it screens units cheaply. The machine that decides works on the coordinates of the kernel's cube,
 for what passes, and is trained again with each sentence's worst unit standing for it. Documents are only mapped.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,15 @@ from pageloom.llm.labelled import sample
 SAMPLE = 5_000
 GAP, SPAN = 0.6, 5
 LANDMARKS, NEGATIVES, ROUNDS, STEPS = 64, 6_000, 2, 300
-POWER, FLOOR, RIDGE, DECAY = 3, -2.0, 0.1, 1e-3
+POWER, FLOOR, RIDGE, DECAY = 3, -2.0, 0.3, 1e-2
+#: Units of toxic sentences of which disguised spellings are learnt too.
+DISGUISED = 200
+#: Decided units that a worker remembers; it starts anew beyond that.
+REMEMBERED = 200_000
+#: Shorter units have too few triples to be told from others.
+LEAST_LETTERS = 4
 #: Twice the log likelihood ratio from which a run of characters counts as tied to the label, and the ratio of shares.
-SIGNIFICANT, RATIO = 22.0, 10.0
+SIGNIFICANT, RATIO = 15.0, 10.0
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
 _EDGE, _DIM, _ROWS = 31, 1 << 15, 512
 _ALL = np.arange(256)
@@ -101,7 +107,8 @@ def kernel(w: W.Words, marks: np.ndarray) -> np.ndarray:
             weights.append(np.full(len(cells[-1]), weight))
             norm += weight**2 * np.bincount(unit, minlength=len(norm))
         rows = np.bincount(np.concatenate(cells), np.concatenate(weights), len(norm) * len(active)).reshape(len(norm), len(active))
-        out[at : at + len(norm)] = (rows.astype(np.float32) @ dense) / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+        # Triples that a unit repeats make its norm larger than the sum of squares, so the product is held below one.
+        out[at : at + len(norm)] = np.minimum((rows.astype(np.float32) @ dense) / np.sqrt(np.maximum(norm, 1e-9))[:, None], 1.0)
     return out
 
 
@@ -115,10 +122,10 @@ def _features(w: W.Words) -> np.ndarray:
     return (table.reshape(_DIM, n) / np.sqrt(np.maximum(norm, 1e-9))).astype(np.float32)
 
 
-def _distinct(w: W.Words) -> tuple[W.Words, np.ndarray]:
-    """The distinct units, and the number of each unit among them."""
-    _, at, place = np.unique(W.hashes(w), return_index=True, return_inverse=True)
-    return W.Words(w.data, w.offsets, w.start[at], w.end[at], np.array([0, len(at)])), place
+def _distinct(w: W.Words) -> tuple[W.Words, np.ndarray, np.ndarray]:
+    """The distinct units, their hashes, and the number of each unit among them."""
+    value, at, place = np.unique(W.hashes(w), return_index=True, return_inverse=True)
+    return _some(w, at), value, place
 
 
 def _some(w: W.Words, at: np.ndarray) -> W.Words:
@@ -136,14 +143,22 @@ class Machine:
     weights: np.ndarray
     slope: float
     offset: float
+    known: dict[int, float] = field(default_factory=dict)
 
     def decide(self, w: W.Words) -> np.ndarray:
-        """Decision value of every unit; ``FLOOR`` for those screened out."""
-        few, place = _distinct(w)
+        """Decision value of every unit; ``FLOOR`` for those screened out. Units decided lately are remembered."""
+        few, value, place = _distinct(w)
         out = np.full(len(few.start), FLOOR)
         passed = np.flatnonzero(weigh(few, self.screen) >= self.least)
-        if len(passed):
-            out[passed] = np.maximum(kernel(_some(few, passed), self.marks) ** POWER @ self.weights[:-1] + self.weights[-1], FLOOR)
+        names = value[passed].tolist()
+        new = [i for i, x in enumerate(names) if x not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(range(len(names)))
+        if new:
+            decided = kernel(_some(few, passed[new]), self.marks) ** POWER @ self.weights
+            self.known.update(zip([names[i] for i in new], np.maximum(decided, FLOOR).tolist(), strict=True))
+        out[passed] = [self.known[x] for x in names]
         return out[place]
 
     def worst(self, w: W.Words) -> np.ndarray:
@@ -158,11 +173,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
 
 
+def _runs(word: bytes) -> set[bytes]:
+    """Runs of four and five characters, the edges of the word included."""
+    edged = b"^" + word + b"$"
+    return {edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1)}
+
+
 def _tied_runs(docs: list[set[bytes]], y: np.ndarray) -> set[bytes]:
-    """Runs of four characters whose texts are toxic far more often than others."""
+    """Runs of characters whose texts are toxic far more often than others."""
     seen = [Counter(), Counter()]
     for words, label in zip(docs, y, strict=True):
-        seen[label].update({x[i : i + 4] for x in words for i in range(len(x) - 3)})
+        seen[label].update(set().union(*map(_runs, words)))
     toxic, clean = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     out = set()
     for run, k in seen[1].items():
@@ -175,10 +196,9 @@ def _tied_runs(docs: list[set[bytes]], y: np.ndarray) -> set[bytes]:
 
 
 def _train(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Linear machine on the squared hinge loss, both labels with the same total weight, by accelerated gradient steps."""
+    """Linear machine without offset on the squared hinge loss, so a unit like no landmark has value 0; both labels with the same total weight, by accelerated gradient steps."""
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.where(y == 1, 0.5 * weight / max(weight[y == 1].sum(), 1), 0.5 * weight / max(weight[y == 0].sum(), 1))
-    z = np.column_stack([z, np.ones(len(z))])
     rate = 1 / (2 * (share[:, None] * z**2).sum() + DECAY)
     beta, ahead = np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for step in range(1, STEPS + 1):
@@ -207,39 +227,59 @@ def _root(kernel: np.ndarray) -> np.ndarray:
     return vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
 
 
+def _disguised(names: list[bytes]) -> W.Words:
+    """Spellings with a sign between all letters, with one in the middle, and with a letter put in."""
+    out = []
+    for n, x in enumerate(names):
+        half = len(x) // 2
+        out += [b".".join(x[i : i + 1] for i in range(len(x))), x[:half] + b"*" + x[half:], x[:half] + b"%c" % (97 + n % 26) + x[half:]]
+    data = np.frombuffer(b" ".join(out), np.uint8)
+    return W.words(_column(data, np.array([0, len(data)])))
+
+
 def fit(texts: list[str], y: np.ndarray) -> Machine:
     """A machine from labelled texts. Without texts of both labels, or without anything tied to them, the score is the share
     of toxic ones."""
     base = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-3, 1 - 1e-3))
-    flat = Machine(np.zeros(_DIM), np.inf, np.zeros((_DIM, 1)), np.zeros(2), 0.0, float(np.log(base / (1 - base))))
+    flat = Machine(np.zeros(_DIM), np.inf, np.zeros((_DIM, 1)), np.zeros(1), 0.0, float(np.log(base / (1 - base))))
     if len(np.unique(y)) < 2:
         return flat
     w = units(pa.array(texts, pa.string()))
-    few, place = _distinct(w)
+    few, _, place = _distinct(w)
     names, doc = [few.text(i) for i in range(len(few.start))], w.doc()
     tied = _tied_runs([set(map(names.__getitem__, place[a:b])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)], y)
     if not tied:
         return flat
-    held = np.array([any(x[i : i + 4] in tied for i in range(len(x) - 3)) for x in names], bool)
+    held = np.array([not tied.isdisjoint(_runs(x)) for x in names], bool)
     # A sentence ends after . ! ? or before a new line.
     stop = np.isin(w.data[w.end - 1], list(b".!?")) | (w.data[np.minimum(w.end, len(w.data) - 1)] == 10) | np.append(doc[1:] != doc[:-1], True)
     sentence = np.r_[0, np.cumsum(stop)[:-1]]
     toxic = (np.bincount(sentence, held[place] & (y[doc] == 1)) > 0)[sentence]
     seen = {k: np.bincount(place[of], minlength=len(names)) for k, of in (("toxic", toxic), ("clean", y[doc] == 0))}
     good = np.flatnonzero(held & (seen["toxic"] > 0) & (seen["clean"] == 0))
+    letters = np.array([int((_CODE[np.frombuffer(names[i], np.uint8)] > 0).sum()) for i in good])
+    good = good[letters >= LEAST_LETTERS] if (letters >= LEAST_LETTERS).any() else good
     good = good[np.argsort(-seen["toxic"][good], kind="stable")]
     clean = np.flatnonzero(seen["clean"])
     clean = clean[np.argsort(-seen["clean"][clean], kind="stable")]
+    more = _disguised([names[i] for i in good[:DISGUISED]])
     marks = _features(_some(few, np.r_[_spread(good, LANDMARKS), _spread(clean[:2000], LANDMARKS)]))
+    marks = np.hstack([marks, _features(_some(more, np.arange(min(LANDMARKS, len(more.start)))))])
     own = marks.T.astype(np.float64) @ marks
 
     # The kernel itself, folded into one table: it screens. Missed units of the toxic sentences set how much may pass.
     half, common = _root(own), clean[:NEGATIVES]
     weight = np.sqrt(seen["toxic"] * held + seen["clean"])
-    beta = _train(kernel(_some(few, np.r_[good, common]), marks) @ half, np.r_[np.ones(len(good)), np.zeros(len(common))], weight[np.r_[good, common]])
-    screen = marks @ (half @ beta[:-1])
+    extra, ones = kernel(more, marks), np.ones(len(more.start))
+
+    def learnt(rows: np.ndarray, label: np.ndarray, power: int) -> np.ndarray:
+        z = np.vstack([kernel(_some(few, rows), marks), extra]) ** power @ half
+        return _train(z, np.r_[label, ones], np.r_[weight[rows], np.repeat(weight[good[:DISGUISED]], 3) / 2])
+
+    beta = learnt(np.r_[good, common], np.r_[np.ones(len(good)), np.zeros(len(common))], 1)
+    screen = marks @ (half @ beta)
     value = weigh(few, screen)
-    least = float(min(np.quantile(value[good], 0.005), np.quantile(value[clean], 0.98)))
+    least = float(min(np.quantile(value[good], 0.005), np.quantile(value[clean], 0.97)))
 
     # Its cube, on what passes: the worst units of clean sentences against those of toxic ones.
     half = _root(own**POWER)
@@ -247,12 +287,13 @@ def fit(texts: list[str], y: np.ndarray) -> Machine:
     hard = hard[np.argsort(-value[hard], kind="stable")][:NEGATIVES]
     rows, label = np.r_[good, hard], np.r_[np.ones(len(good)), np.zeros(len(hard))]
     for _ in range(ROUNDS):
-        beta = _train((kernel(_some(few, rows), marks) ** POWER) @ half, label, weight[rows])
-        out = Machine(screen, least, marks, np.r_[half @ beta[:-1], beta[-1]], 1.0, 0.0)
+        beta = learnt(rows, label, POWER)
+        out = Machine(screen, least, marks, half @ beta, 1.0, 0.0)
         decision = out.decide(w)
         order = np.lexsort((decision, sentence))
         worst = order[np.r_[sentence[order][1:] != sentence[order][:-1], True]]
         up = np.unique(place[worst[toxic[worst]]])
+        up = up[seen["clean"][up] == 0]
         down = np.setdiff1d(np.unique(place[worst[(y[doc[worst]] == 0) & (decision[worst] > FLOOR)]]), up)
         rows, label = np.r_[up, down], np.r_[np.ones(len(up)), np.zeros(len(down))]
         if not len(up) or not len(down):
