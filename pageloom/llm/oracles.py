@@ -41,6 +41,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM doc_words d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
+CHAT_FORMAT = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM t
+),
+whole AS (
+  SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY place) AS turns,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS shown
+  FROM placed GROUP BY conv_id
+),
+firsts AS (SELECT turns, any_value(n) AS n, any_value(shown) AS shown, min(conv_id) AS conv_id FROM whole GROUP BY turns),
+inner_parts AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM firsts))
+SELECT conv_id, n::BIGINT AS n_turns, shown AS text FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.turns = f.turns)
+"""
+
 NEAR_DEDUP = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -65,5 +80,6 @@ FROM d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_seen l USING (doc_id)
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_decontamination": DECONTAMINATION,
+    "op5_chat_format": CHAT_FORMAT,
     "op6_near_dedup": NEAR_DEDUP,
 }

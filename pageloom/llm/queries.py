@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import backoff, bpe, factors, token_files, toxicity, trees
+from pageloom.llm.chat import format_chats
 from pageloom.llm.contamination import contaminated, find_contamination
 from pageloom.llm.frames import new_folder, read, remainder, text_bytes
 from pageloom.llm.near import near_duplicates
@@ -36,6 +37,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=75, shingle=5)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": lm_scoring,
     "op3_quality_classifier": quality_classifier,
     "op4_decontamination": decontamination,
+    "op5_chat_format": chat_format,
     "op6_near_dedup": near_dedup,
     "op7_quality_rules": quality_rules,
     "op8_toxicity": toxicity_svm,
