@@ -27,8 +27,10 @@ from pageloom.llm.frames import written
 
 SHINGLE = 5
 BANDS, ROWS = 56, 6
-#: Two sets at 0.75 agree in 252 of 336 minima on average; fewer than this has a probability below one in a billion.
-LEAST_AGREE = 200
+#: Two sets at 0.75 agree in 252 of 336 minima on average; fewer than this has a probability of 0.000003.
+LEAST_AGREE = 216
+#: Members of a bucket up to which pairs are joined; larger buckets are compared by chunks of this many members.
+FEW, CHUNK = 24, 256
 PERCENT = 75
 
 _RNG = np.random.default_rng(7_5)
@@ -138,6 +140,62 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> D
     return alike.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent, shingle), "a long, b long").distinct()
 
 
+def _shared(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets, as products of rows of marks, some thousand shared shingles at a time."""
+    values, offsets = sets
+    distinct, place, seen = np.unique(values, return_inverse=True, return_counts=True)
+    row, number = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), np.cumsum(seen > 1) - 1
+    both = seen[place] > 1
+    row, column = row[both], number[place[both]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(offsets) - 1,) * 2, np.float32)
+    for at in range(0, int((seen > 1).sum()), _COLUMNS):
+        a, b = np.searchsorted(column, (at, at + _COLUMNS))
+        marks = np.zeros((len(out), _COLUMNS), np.float32)
+        marks[row[a:b], column[a:b] - at] = 1
+        out += marks @ marks.T
+    return out
+
+
+def _linker(percent: int, shingle: int) -> Callable:
+    def link(table: pa.Table) -> pa.Table:
+        """Links within a block between different components: signatures first, then the full sets. A pair is judged in the
+        first bucket that its documents share."""
+        doc, component, chunk, band = (table[c].to_numpy() for c in ("doc", "component", "chunk", "band"))
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(doc), -1)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        own, found = table["i"][0].as_py() == table["k"][0].as_py(), []
+        for x in range(len(doc)):
+            near = np.flatnonzero((component != component[x]) & (doc > doc[x]) & (True if own else chunk != chunk[x]))
+            near = near[(signature[near] == signature[x]).sum(axis=1) >= LEAST_AGREE]
+            if len(near):
+                near = near[~(bands[near, : band[x]] == bands[x, : band[x]]).any(axis=1)]
+                found.append(np.column_stack([np.full(len(near), x), near]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        if len(pairs):
+            held, place = np.unique(pairs, return_inverse=True)
+            sets = shingle_sets(table["text"].take(pa.array(held)).combine_chunks(), shingle)
+            x, y = place.reshape(-1, 2).T
+            both, size = _shared(sets)[x, y], np.diff(sets[1])
+            pairs = pairs[(both > 0) & (100 * both >= percent * (size[x] + size[y] - both))]
+        ends = np.sort(doc[pairs], axis=1).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return link
+
+
+def _links_in_blocks(mixed: DataFrame, firsts: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links of large buckets: their members are dealt to chunks, and every two chunks of a bucket are compared in one block.
+    Only links leave a block."""
+    chunks = F.ceil(F.col("n") / CHUNK)
+    dealt = mixed.withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks)).withColumn("j", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    blocks = dealt.select("key", F.least("chunk", "j").alias("i"), F.greatest("chunk", "j").alias("k"), "chunk", "doc", "component")
+    held = blocks.join(firsts.select("doc", "bands"), "doc").join(texts, "doc")
+    held = held.withColumn("band", (F.array_position("bands", F.col("key")) - 1).cast("int"))
+    return held.groupBy("key", "i", "k").applyInArrow(_linker(percent, shingle), "a long, b long")
+
+
 def _told(edges: DataFrame, step: str) -> DataFrame:
     """Edges (u, v) with the least neighbour of u, itself included."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), step)
@@ -189,11 +247,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     # What shares a bucket but no component yet.
     placed = members.join(found, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    mixed = written(placed.join(mixed, "key", "left_semi"), "mixed")
-    one, two = (mixed.select("key", F.col("doc").alias(s), F.col("component").alias(f"{s}_component")) for s in "ab")
-    pairs = one.join(two, "key").filter("a_component <> b_component and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_linked(pairs, texts, percent, shingle), "more_links")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y")
+    mixed = written(placed.join(mixed.select("key", "n"), "key"), "mixed")
+    one, two = (mixed.filter(F.col("n") <= FEW).select("key", F.col("doc").alias(s), F.col("component").alias(f"{s}_component")) for s in "ab")
+    few = one.join(two, "key").filter("a_component <> b_component and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    large = _links_in_blocks(mixed.filter(F.col("n") > FEW), firsts, texts, percent, shingle)
+    more = written(_linked(few, texts, percent, shingle).union(large).distinct(), "more_links")
     if more.head(1):
         joined = found.select(F.col("component").alias("a"), F.col("doc").alias("b")).union(more)
         found = written(components(joined), "all_components")
