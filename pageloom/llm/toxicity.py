@@ -28,7 +28,7 @@ from pageloom.llm import words as W
 from pageloom.llm.frames import without
 from pageloom.llm.labelled import sample
 
-SAMPLE = 5_000
+SAMPLE = 3_000
 GAP, SPAN = 0.6, 5
 LANDMARKS, NEGATIVES, ROUNDS, STEPS = 64, 6_000, 2, 300
 POWER, FLOOR, RIDGE, DECAY = 3, -2.0, 0.3, 1e-2
@@ -115,9 +115,9 @@ def kernel(w: W.Words, marks: np.ndarray) -> np.ndarray:
 def _features(w: W.Words) -> np.ndarray:
     """Normalised features as a table of one column for each unit."""
     n = len(w.start)
-    table, norm = np.zeros(_DIM * n, np.float64), np.zeros(n)
+    table, norm = np.zeros(_DIM * n, np.float32), np.zeros(n)
     for unit, number, weight in triples(w):
-        table += weight * np.bincount(number.astype(np.int64) * n + unit, minlength=_DIM * n)
+        np.add.at(table, number.astype(np.int64) * n + unit, np.float32(weight))
         norm += weight**2 * np.bincount(unit, minlength=n)
     return (table.reshape(_DIM, n) / np.sqrt(np.maximum(norm, 1e-9))).astype(np.float32)
 
