@@ -1,6 +1,6 @@
 """Byte-level BPE as a monoid tree: halves are encoded alone, neighbours joined by re-encoding what their seam can change.
 
-A node holds the pattern's matches of its text and their token ids. Two nodes are joined by taking a window of matches on
+A node holds the pieces of its text (matches of the pattern, or runs of them) and their token ids. Two nodes are joined by taking a window of pieces on
 either side of the seam and encoding its text anew; the window doubles until both its edges are proven. An edge is proven
 where a character other than white space is followed by white space: no alternative of the pattern has both in this order,
 so every split of any text around it has a match end there, and the pattern looks back at nothing. Tokens outside then
@@ -32,7 +32,7 @@ from pageloom.llm.frames import without
 LEAF = 4096
 WINDOW = 8
 #: Matches whose ids a worker remembers, twice over.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 MOST_BYTES = 64 << 20
 _NONE = 1 << 60
 
@@ -65,17 +65,27 @@ class Bpe:
         ids = [self.ranks[raw]] if raw in self.ranks else (self._short if len(raw) < 200 else self._long)(raw)
         return np.array(ids, np.int32).tobytes()
 
-    def codes(self, matches: list[str]) -> list[bytes]:
-        """Packed ids of all matches. When too many are remembered, those not asked for lately are dropped."""
-        if len(self.known) + len(matches) > REMEMBERED:
+    def _recall(self, text: str, ids: Callable[[str], bytes]) -> bytes:
+        out = self.known.get(text) or self.old.get(text) or ids(text)
+        self.known[text] = out
+        return out
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(self._recall(m, self.code) for m in self.matches(text))
+
+    def codes(self, parts: list[str], whole: bool) -> list[bytes] | None:
+        """Packed ids of all parts: matches of the pattern, or pieces (``whole``) each of which must end in a proven edge,
+        else None. When too many are remembered, those not asked for lately are dropped."""
+        if len(self.known) + len(parts) > REMEMBERED:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        out = list(map(known.get, matches))
+        out = list(map(self.known.get, parts))
         if None in out:
             for i, code in enumerate(out):
                 if code is None:
-                    match = matches[i]
-                    out[i] = known[match] = known.get(match) or old.get(match) or self.code(match)
+                    if whole and i + 1 < len(parts) and parts[i][-1].isspace():
+                        return None
+                    # The last piece may still change at the seam, but alone its ids are what they are.
+                    out[i] = self._recall(parts[i], self._pieces if whole else self.code) if not parts[i][-1].isspace() else self._pieces(parts[i])
         return out
 
     def _short(self, raw: bytes) -> list[int]:
@@ -115,8 +125,14 @@ class Bpe:
         return [self.ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
     def leaf(self, text: str) -> Node:
+        """Cut before single spaces where each cut is a proven edge, else into matches."""
+        if text and "\0" not in text:
+            pieces = text.replace(" ", "\0 ").split("\0")
+            pieces = pieces if pieces[0] else pieces[1:]
+            if (codes := self.codes(pieces, True)) is not None:
+                return Node(pieces, codes)
         matches = self.matches(text)
-        return Node(matches, self.codes(matches))
+        return Node(matches, self.codes(matches, False))
 
     def join(self, left: Node, right: Node) -> Node:
         """The node of both texts, one after the other."""
@@ -140,9 +156,9 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.node(text).codes), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= LEAF:
-            return b"".join(map(self.tokens.__getitem__, ids))
+            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -201,7 +217,10 @@ def _ids(bpe: Bpe, piece: pa.RecordBatch) -> pa.Array:
 
 
 def _bytes(bpe: Bpe, piece: pa.RecordBatch) -> pa.Array:
-    return pa.array([bpe.decode(x or []) for x in piece.column(piece.schema.get_field_index("ids")).to_pylist()], pa.binary())
+    ids = piece.column(piece.schema.get_field_index("ids"))
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy()
+    flat, offsets = ids.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)].tolist()
+    return pa.array([bpe.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
