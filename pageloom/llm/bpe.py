@@ -21,6 +21,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -218,7 +219,7 @@ def _ids(bpe: Bpe, piece: pa.RecordBatch) -> pa.Array:
 
 def _bytes(bpe: Bpe, piece: pa.RecordBatch) -> pa.Array:
     ids = piece.column(piece.schema.get_field_index("ids"))
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
     flat, offsets = ids.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)].tolist()
     return pa.array([bpe.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())
 

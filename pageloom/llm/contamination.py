@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -175,7 +176,7 @@ def _marker(shard, key: str, window: int, schema: pa.Schema) -> Callable:
             items = {d: set(x) for d, x in enumerate(had["items"].to_pylist()) if x} if had["items"].flatten() else {}
             before = had["spans"].flatten()
             if len(before):
-                base = np.repeat(w.first[:-1], pa.compute.list_value_length(had["spans"]).to_numpy())
+                base = np.repeat(w.first[:-1], pc.list_value_length(had["spans"]).to_numpy())
                 for s, e in zip(before.field(0).to_numpy() + base, before.field(1).to_numpy() + base, strict=True):
                     hit[s:e] = True
             numbers, begins, ends = candidate_runs(automaton, w)

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,8 @@ def _survivors(column: pa.Array, w: W.Words) -> np.ndarray:
     packed = column.flatten()
     if not len(packed):
         return np.zeros(0, np.int64)
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(packed).to_pylist()]) // 4
-    lists = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(packed).to_pylist()]) // 4
+    lists = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
     doc = np.repeat(np.repeat(np.arange(len(column)), lists), sizes)
     places = np.frombuffer(b"".join(packed.to_pylist()), np.int32)
     return w.first[doc] + places
@@ -169,8 +170,8 @@ def _finder(final: bool) -> Callable:
     """Reduce side of a level, for one bucket: the places of repeated windows, or of all but the first at the end."""
 
     def find(table: pa.Table) -> pa.Table:
-        asked = table.filter(pa.compute.is_valid(table["hashes"]))
-        known = table.filter(pa.compute.is_null(table["hashes"]))
+        asked = table.filter(pc.is_valid(table["hashes"]))
+        known = table.filter(pc.is_null(table["hashes"]))
         out = [_answer(known, None)]
         if asked.num_rows:
             value, again = _joined(asked, "hashes", np.uint64), _joined(asked, "again", np.uint8)

@@ -11,12 +11,13 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,13 @@ from pageloom.llm import words as W
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 20, 2_000
 #: Text that one shard stands for.
 SHARD_BYTES = 16 << 20
-#: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 3_000_000
 MOST_BYTES = 64 << 20
 SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids array<int>"
-#: Letters, then other signs: a tokenizer of words splits there. Not before an apostrophe, which begins endings of its own.
-_LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#|()\"-]+)").fullmatch
-_LATIN, _LATIN_ANY = (re.compile(f"[{a}a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch for a in ("", "A-Z"))
+#: Signs that a tokenizer of words cuts off after letters. Not the apostrophe, which begins endings of its own.
+_SIGNS = '.,;:!?*$%&#|()"-'
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level tokenizers write bytes as letters: printable ones as themselves, the others in order from U+0100.
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -39,54 +40,73 @@ _ARROW = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int
 
 
 class WordCodes:
-    """Packed ids of words by a tokenizer that never looks across white space nor from letters into other signs.
+    """Ids of words by a tokenizer that never looks across white space nor from letters into other signs.
 
-    Words are remembered in two generations: when the young one is full, the old one is dropped, so frequent words stay.
+    Words are remembered by hash in sorted arrays, some twenty bytes each, and forgotten all at once beyond ``REMEMBERED``.
     """
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        """Packed ids of a word or of one side of it."""
-        out = self.parts.get(part)
-        if out is None:
-            low = part.lower()
-            if _LATIN(low) and _LATIN_ANY(part):
-                # Plain letters are one word for the model; only its table of bytes stands before it.
-                low = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = [t.id for t in self.tokenizer.model.tokenize(low)]
-            else:
-                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            out = self.parts[part] = array("i", ids).tobytes()
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Make sure that all words are among the young."""
-        if len(self.young) + len(words) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        young, old = self.young, self.old
-        for word in words:
-            if word not in young:
-                code = old.get(word)
-                if code is None:
-                    split = _LETTERS_THEN_SIGNS(word)
-                    code = self._part(split[1]) + self._part(split[2]) if split else self._part(word)
-                young[word] = code
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Packed ids of every text with the end id; null counts as empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        find = self.young.__getitem__
-        return [b"".join(map(find, s)) + end for s in split]
+        self.merge = self.tokenizer.model.tokenize
+        self.signs: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a-z and Latin letters: one word for the model; only its table of bytes stands before it."""
+        word = word.lower()
+        return [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
+    def _word(self, word: str) -> list[int]:
+        core = word.rstrip(_SIGNS)
+        if not (core.isascii() and core.isalpha() or _LATIN(core)):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if len(core) == len(word):
+            return self._letters(core)
+        tail = word[len(core) :]
+        if tail not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs = {}
+            self.signs[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+        return self._letters(core) + self.signs[tail]
+
+    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+        """Remember new words; the keys are sorted."""
+        ids = [self._word(x) for x in words]
+        sizes = np.array(list(map(len, ids)), np.int32)
+        total = int(sizes.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + total, np.int32)])
+        self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(sizes) - sizes)
+        self.size, self.keys = np.insert(self.size, at, sizes), np.insert(self.keys, at, keys)
+        self.used += total
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and how many each has; null counts as empty."""
+        w = W.words(texts)
+        distinct, at, place = np.unique(W.hashes(w), return_index=True, return_inverse=True)
+        for _ in range(2):
+            entry = np.searchsorted(self.keys, distinct)
+            known = np.r_[self.keys, distinct[:1]][entry] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+            if known.all():
+                break
+            if len(self.keys) + len(distinct) > REMEMBERED:
+                self._forget()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            self._add(distinct[new], [w.text(i).decode() for i in at[new]])
+        entry = np.searchsorted(self.keys, distinct)[place] if len(place) else place
+        counts, start = self.size[entry], self.start[entry]
+        before = np.r_[0, np.cumsum(counts)]
+        ids = self.flat[np.repeat(start - before[:-1], counts) + np.arange(before[-1])]
+        return np.insert(ids, before[w.first[1:]], end), np.diff(before[w.first]) + 1
 
 
 _WORKER: dict[str, WordCodes] = {}
@@ -99,10 +119,9 @@ def _encoder(definition, key: str, end: int) -> Callable:
             _WORKER[key] = WordCodes(definition.value)
         codes, at = _WORKER[key], 0
         for piece in W.pieces(batches):
-            got = codes.encode(piece.column(piece.schema.get_field_index("text")).to_pylist(), np.int32(end).tobytes())
-            sizes = np.array([len(g) // 4 for g in got], np.int64)
+            ids, sizes = codes.encode(piece.column(piece.schema.get_field_index("text")), end)
             offsets = np.r_[0, np.cumsum(sizes)]
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(piece.schema.get_field_index("shard")), piece.column(piece.schema.get_field_index("doc_id")),
                  pa.array(offsets[:-1] + at), pa.array(sizes), ids], schema=_ARROW)
@@ -152,7 +171,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("ids"))
-        flat, offsets = memoryview(ids.flatten().to_numpy()).cast("B"), np.r_[0, np.cumsum(pa.compute.list_value_length(ids).to_numpy())] * 4
+        flat, offsets = memoryview(ids.flatten().to_numpy()).cast("B"), np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())] * 4
         crc = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.int64())
         named = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         yield pa.RecordBatch.from_arrays([named["doc_id"], named["start"], named["n_tokens"], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
