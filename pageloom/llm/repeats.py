@@ -249,6 +249,7 @@ def _cutter(window: int, schema: pa.Schema) -> Callable:
                 out["text"] = pa.Array.from_buffers(
                     pa.large_string(), piece.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(w.data[kept])]
                 ).cast(pa.string())
+                out["text"] = pc.if_else(_column(piece, "text").is_null(), pa.scalar(None, pa.string()), out["text"])
             out["n_words"] = pa.array(w.counts)
             out["n_removed"] = pa.array(total[w.first[1:]] - total[w.first[:-1]])
             starts = np.flatnonzero(gone & ~np.r_[False, gone[:-1] & (doc[1:] == doc[:-1])]) if len(gone) else np.zeros(0, int)
