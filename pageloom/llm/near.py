@@ -30,7 +30,7 @@ BANDS, ROWS = 56, 6
 #: Two sets at 0.75 agree in 252 of 336 minima on average; fewer than this has a probability of 0.000003.
 LEAST_AGREE = 216
 #: Members of a bucket up to which pairs are joined; larger buckets are compared by chunks of this many members.
-FEW, CHUNK = 24, 256
+FEW, CHUNK = 24, 1024
 PERCENT = 75
 
 _RNG = np.random.default_rng(7_5)
