@@ -28,7 +28,7 @@ def tag_name(tok: str) -> str:
 
 def unescape(value: str) -> str:
     """Decode named and numeric character references; unknown ones stay as written."""
-    ref = "regexp_extract(piece, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);', 1)"
+    ref = "regexp_extract(piece, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
     digits = "case when ref rlike '^#[xX]' then upper(substring(ref, 3)) else hex(try_cast(substring(ref, 2) as bigint)) end"
     point = f"try_cast(conv({digits}, 16, 10) as bigint)"
     valid = f"({point} between 1 and 55295 or {point} between 57344 and 1114111)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pageloom.functions import pattern, text
 from pageloom.functions.urls import short_host
 
 FILE_NAME_LIMIT = 255
@@ -25,8 +26,16 @@ def author(byline: str, site: str) -> str:
 
 
 def published_at(given: str, run_ts: str) -> str:
-    """Parsed publishing time; the run time when none is given; null when it cannot be parsed."""
-    return f"case when coalesce({given}, '') = '' then {run_ts} else try_cast({given} as timestamp_ntz) end"
+    """Parsed publishing time in UTC; the run time when none is given; null when it cannot be parsed.
+
+    ISO forms with or without a zone, mail dates, and dates with the month written out.
+    """
+    bare = f"regexp_replace(trim({given}), {pattern(r'^[A-Za-z]{3,9}, +')}, '')"
+    forms = ["d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy"]
+    spelled = ", ".join(f"try_to_timestamp({bare}, {text(form)})" for form in forms)
+    # The session's zone is UTC, so the instant is shown as UTC.
+    parsed = f"cast(coalesce(try_cast({given} as timestamp), {spelled}) as timestamp_ntz)"
+    return f"case when coalesce({given}, '') = '' then {run_ts} else {parsed} end"
 
 
 def language(lang: str) -> str:

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pageloom.functions import pattern
 
 AUTHORITY = pattern(r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)")
+NO_AUTHORITY = pattern(r"^(?i:about|blob|cid|data|geo|javascript|magnet|mailto|news|sms|tel|urn|xmpp):")
 SCHEME = pattern(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
 ORIGIN = pattern(r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)")
 BASE_PATH = pattern(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)")
 
 
 def full_host(url: str) -> str:
-    """Lower-case host with a non-default port; null when the text is not an absolute URL."""
+    """Lower-case host with a non-default port; empty for an address without one; null when it is not an absolute URL."""
     scheme = f"lower(regexp_extract({url}, {SCHEME}, 1))"
     host = f"lower(regexp_extract({url}, {AUTHORITY}, 1))"
     return (
-        f"nullif(case {scheme} when 'http' then regexp_replace({host}, ':80$', '')"
-        f" when 'https' then regexp_replace({host}, ':443$', '') else {host} end, '')"
+        f"case when {url} rlike {NO_AUTHORITY} then '' else nullif(case {scheme} when 'http' then regexp_replace({host}, ':80$', '')"
+        f" when 'https' then regexp_replace({host}, ':443$', '') else {host} end, '') end"
     )
 
 

@@ -1,3 +1,4 @@
+from html.entities import name2codepoint
 """Fixed word lists. They are values, not logic; results depend on every entry."""
 
 # Attribute names kept on article elements.
@@ -71,6 +72,27 @@ MIME = (
     ("m4a", "audio/mp4", "m4a"),
     ("mp3", "audio/mpeg", "mp3"),
     ("ogg", "audio/ogg", "ogg"),
+    ("apng", "image/apng", "apng"),
+    ("bmp", "image/bmp", "bmp"),
+    ("ico", "image/vnd.microsoft.icon", "ico"),
+    ("tif", "image/tiff", "tif"),
+    ("tiff", "image/tiff", "tif"),
+    ("jfif", "image/jpeg", "jpeg"),
+    ("3gp", "video/3gpp", "3gp"),
+    ("avi", "video/x-msvideo", "avi"),
+    ("m4v", "video/x-m4v", "m4v"),
+    ("mkv", "video/x-matroska", "mkv"),
+    ("mov", "video/quicktime", "qt"),
+    ("mpeg", "video/mpeg", "mpeg"),
+    ("mpg", "video/mpeg", "mpeg"),
+    ("ogv", "video/ogg", "ogv"),
+    ("aac", "audio/x-aac", "aac"),
+    ("flac", "audio/x-flac", "flac"),
+    ("mid", "audio/midi", "mid"),
+    ("oga", "audio/ogg", "ogg"),
+    ("opus", "audio/ogg", "ogg"),
+    ("wav", "audio/wav", "wav"),
+    ("weba", "audio/webm", "weba"),
 )
 
 # HTML standard element classes.
@@ -97,15 +119,8 @@ PAGE_LONG_TAGS = tuple(
 )
 
 # Tags removed with their content by the sanitizer, and link attributes it checks.
-UNSAFE_TAGS = tuple("script object embed applet iframe".split())
+UNSAFE_TAGS = tuple("script object embed applet iframe base link meta frame frameset noembed template".split())
 LINK_ATTRIBUTES = tuple("action background cite data formaction href longdesc poster src xlink:href".split())
 
-# Named character references that are decoded.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
-    "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "laquo": "«", "raquo": "»", "deg": "°", "euro": "€",
-    "pound": "£", "times": "×", "auml": "ä", "ouml": "ö", "uuml": "ü",
-    "szlig": "ß", "eacute": "é", "egrave": "è", "ccedil": "ç", "ntilde": "ñ",
-}
+# Named character references that are decoded: those of HTML 4, and the apostrophe.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pageloom.functions import naming
+from pageloom.functions import naming, text
 from pageloom.functions.media import canonical_extension, media_type, stable_id
 from pageloom.operators.tree import exprs
 
@@ -96,7 +96,7 @@ def manifest(books: DataFrame, chapter_rows: DataFrame, media: DataFrame, versio
             item(3, "'css'", "'style.css'", "'text/css'"),
             f"if(cover is not null, {item(4, "'image_cover'", "concat('cover.', cover_extension)", 'cover_type', image)}, null)",
         ]
-        + [item(8 + i, f"'font_{i}'", f"'fonts/{f}'", "'application/x-font-ttf'") for i, f in enumerate(fonts)]
+        + [item(8 + i, f"'font_{i}'", text(f"fonts/{f}"), "'application/x-font-ttf'") for i, f in enumerate(fonts)]
     )
     base = (
         books.selectExpr("book_id", f"explode_outer(array({fixed})) as f")
@@ -134,7 +134,7 @@ def navigation(books: DataFrame, chapter_rows: DataFrame, show_toc: bool = False
         f"named_struct('kind', '{kind}', 'grp', {grp}, 'no', 0, 'id', '{name}', 'href', '{href}',"
         f" 'label', cast({label} as string), 'linear', cast({linear} as string))"
     )
-    label = "'" + toc_title.replace("'", "\\'") + "'"
+    label = text(toc_title)
     entries = [f"if(cover is not null, {fixed('spine', 1, 'cover', 'cover.xhtml', 'null', "'no'" if version != 2 else 'null')}, null)"]
     if show_toc:
         entries += [fixed(k, 2, "toc", "toc.xhtml", label, "null") for k in ("spine", "ncx")]

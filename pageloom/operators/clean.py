@@ -27,7 +27,9 @@ def is_safe(tag: str, name: str, value: str, keep: str = "false") -> str:
     """True for an attribute the sanitizer keeps. ``keep`` is a further exemption of the caller's."""
     local = f"({name} = 'src' and {one_of(tag, LOCAL_SRC_TAGS)} and startswith({value}, 'file://'))"
     inline = f"({name} = 'src' and {one_of(tag, INLINE_DATA_TAGS)} and startswith({value}, 'data:'))"
-    address = f"not {one_of(name, LINK_ATTRIBUTES)} or coalesce({value}, '') = '' or {value} rlike {SAFE_SCHEME}"
+    # Browsers skip white space and control characters inside a scheme.
+    bare = f"regexp_replace({value}, {pattern(r'[\x00-\x20\x7F-\xA0\u2028\u2029\uFEFF]')}, '')"
+    address = f"not {one_of(name, LINK_ATTRIBUTES)} or coalesce({value}, '') = '' or {bare} rlike {SAFE_SCHEME}"
     return f"(coalesce({keep}, false) or (not startswith({name}, 'on') and coalesce({local} or {inline} or {address}, true)))"
 
 

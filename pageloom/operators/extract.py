@@ -87,10 +87,15 @@ def metadata(nodes: DataFrame) -> DataFrame:
         "published_time": ("article:published_time", "parsely-pub-date"),
         "excerpt": ("description", "og:description", "twitter:description"),
     }
+    # A stray bracket cuts the text of an element into several rows.
+    whole = (
+        "array_join(collect_list(if(kind = 'text', tok, null)) over (partition by page_id, parent_id order by node_id"
+        " rows between unbounded preceding and unbounded following), '')"
+    )
     rows = nodes.filter("tag in ('meta', 'html') or (kind = 'text' and parent_tag in ('title', 'h1'))").selectExpr(
         "page_id", "node_id", "kind", "tag", "parent_tag",
         f"if(tag = 'meta', {name}, null) as name",
-        f"case when kind = 'text' then trim(regexp_replace({unescape('tok')}, r'\\s+', ' '))"
+        f"case when kind = 'text' then trim(regexp_replace({unescape(whole)}, r'\\s+', ' '))"
         f" when tag = 'meta' then nullif({attr('attrs', 'content')}, '') else nullif({attr('attrs', 'lang')}, '') end as value",
     )
 
@@ -135,7 +140,8 @@ def below_single_divs(content: DataFrame) -> DataFrame:
     Below the root, such wrappers are the first rows of the page, so the first row that is not one ends
     the chain; nothing is joined and nothing loops.
     """
-    stop = "not (n_siblings = 1 and tag = 'div')"
+    marks = [f"{c} is not null" for c in ("instead", "after") if c in content.columns]
+    stop = " or ".join(["not (n_siblings = 1 and tag = 'div')", *marks])
     return (
         content.selectExpr("*", f"sum(if({stop}, 1, 0)) {node_order(UPTO)} as stops").filter("stops > 0").drop("stops")
     )

@@ -12,14 +12,15 @@ SALTS = 32
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = SALTS) -> DataFrame:
     """Left join ``rows`` to a table with one row per ``key``, where a key of ``rows`` may be hot.
 
-    The distinct (key, salt) pairs fetch the values first: they are found with map-side combining, and no
-    key has more than ``salts`` of them. The rows then meet the pairs on both columns, so a hot key is
-    spread over ``salts`` tasks. Neither side is broadcast and the table is not copied.
+    The distinct pairs of key and salt fetch the values first: they are found with map-side combining, and no
+    key has more than ``salts`` of them. The rows then meet the pairs on one column made of both, so a hot key is
+    spread over ``salts`` tasks whatever part of a join's keys the session lets an exchange use. Neither side is
+    broadcast and the table is not copied.
     """
-    salted = rows.selectExpr("*", f"cast(pmod(xxhash64({spread}), {salts}) as int) as salt")
-    pairs = salted.filter(f"{key} is not null").select(key, "salt").distinct()
-    fetched = pairs.join(table, key)
-    return salted.join(fetched, [key, "salt"], "left").drop("salt")
+    salted = rows.selectExpr("*", f"concat(pmod(xxhash64({spread}), {salts}), '|', {key}) as salted_key")
+    pairs = salted.filter(f"{key} is not null").select(key, "salted_key").distinct()
+    fetched = pairs.join(table, key).drop(key)
+    return salted.join(fetched, "salted_key", "left").drop("salted_key")
 
 
 def latest_per_key(rows: DataFrame, key: str, order: str, row_id: str, name: str = "is_latest") -> DataFrame:

@@ -196,9 +196,11 @@ def render_parts(rewritten: bool) -> str:
     of elements that end together written from the inside out.
     """
     start = open_tag("tag", "attrs") if rewritten else "tok"
+    # A stray bracket is text; written as it stands it could open a tag once an element beside it is dropped.
+    shown = "replace(replace(tok, '<', '&lt;'), '>', '&gt;')" if rewritten else "tok"
     end = piece("end_id", 1, "-node_id", "concat('</', tag, '>')")
     return (
-        f"array({piece('node_id', 0, '0', f"if(kind = 'element', {start}, tok)")},"
+        f"array({piece('node_id', 0, '0', f"if(kind = 'element', {start}, {shown})")},"
         f" if(kind = 'element' and not {one_of('tag', VOID_TAGS)}, {end}, null))"
     )
 

@@ -46,7 +46,7 @@ def read_media_log(source, path: str) -> DataFrame:
     """Log files with lines ``download_id TAB attempt TAB ts TAB line``; ``source`` is spark.read or readStream."""
     parts = "split(value, '\\t', 4)"
     return (
-        source.text(path)
+        source.option("lineSep", "\n").text(path)
         .selectExpr(f"{parts} as f")
         .filter("size(f) = 4")
         .selectExpr(
