@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 # Cutting a page into tokens multiplies its rows, so partitions hold few bytes of page files.
 PARTITION_BYTES = 16 << 20
-MAX_PARTITIONS = 100_000  # Spark's own limit for buckets
+MAX_BUCKETS = "spark.sql.bucketing.maxBuckets"
 UNKNOWN_SIZE = 1 << 60
 # The setting cannot be changed in a running session, so a test session's folder is remembered here.
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -44,7 +44,7 @@ def partitions_for(rows: DataFrame) -> int:
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if size >= UNKNOWN_SIZE:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism), MAX_PARTITIONS)
+    return max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism)
 
 
 class Stages:
@@ -54,6 +54,9 @@ class Stages:
         self.spark = spark
         self.run = uuid.uuid4().hex[:12]
         self.buckets = buckets
+        # The setting's default of 100,000 would bound the pages of one run.
+        if buckets > int(spark.conf.get(MAX_BUCKETS, "100000")):
+            spark.conf.set(MAX_BUCKETS, str(buckets))
         self.tables: list[str] = []
 
     def keep(self, rows: DataFrame, name: str, key: str = "page_id") -> DataFrame:
@@ -64,14 +67,20 @@ class Stages:
             .write.format("parquet")
             .mode("overwrite")
             .bucketBy(self.buckets, key)
-            .option("path", f"{shared_folder(self.spark)}/pageloom/{self.run}/{name}")
+            .option("path", f"{self._folder()}/{name}")
             .saveAsTable(table)
         )
         self.tables.append(table)
         return self.spark.table(table)
 
+    def _folder(self) -> str:
+        return f"{shared_folder(self.spark)}/pageloom/{self.run}"
+
     def release(self) -> None:
-        """Forget the tables. Their files stay in the shared folder, like checkpoints do."""
+        """Drop the tables and delete the folder of this run. Call it once the outputs are written."""
         for table in self.tables:
             self.spark.sql(f"drop table if exists {table}")
+        if self.tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.tables.clear()

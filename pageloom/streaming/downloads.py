@@ -24,8 +24,8 @@ def progress_stream(log: DataFrame) -> DataFrame:
 def oversize_latch(log: DataFrame, formats: DataFrame, cap: int, delay: str = "1 hour") -> DataFrame:
     """First report over the cap of every attempt but the last of its download, once per attempt.
 
-    ``formats`` (``download_id, last_attempt``) is static. Only breaches reach the shuffle, and state for an
-    attempt ends with the watermark.
+    ``formats`` (``download_id, last_attempt``) is static. Only breaches reach the shuffle. An attempt stays latched, however
+    long it runs: its state is two numbers and is kept. ``delay`` only bounds what other steps wait for late rows.
     """
     return (
         log_events(log.withWatermark("ts", delay))
@@ -34,7 +34,7 @@ def oversize_latch(log: DataFrame, formats: DataFrame, cap: int, delay: str = "1
         .filter(f"size_mib > {cap}")
         .join(formats, "download_id")
         .filter("attempt < last_attempt")
-        .dropDuplicatesWithinWatermark(["download_id", "attempt"])
+        .dropDuplicates(["download_id", "attempt"])
         .select("download_id", "attempt", "ts", "size_mib")
     )
 

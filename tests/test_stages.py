@@ -40,3 +40,4 @@ def test_stage_keeps_rows_and_clustering(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "pageloom" / stages.run / "some").glob("*.parquet"))) == 3
     stages.release()
     assert not stages.tables
+    assert not (tmp_path / "pageloom" / stages.run).exists()
