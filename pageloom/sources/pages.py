@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.operators.lookup import salted_lookup
@@ -32,13 +33,16 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int | None =
 def with_requests(pages: DataFrame, requests: DataFrame | None, defaults: dict[str, str] | None = None) -> DataFrame:
     """Add the options of every page: those requested for its address, else the job's defaults (SQL text).
 
-    One address may be crawled very often, so the join salts it. ``requests`` has one row per address.
+    One address may be crawled very often, so the join salts it. Of several requests for one address the greatest counts, field
+    by field in the order of the columns; pages are never multiplied.
     """
     fallback = {**REQUEST_DEFAULTS, **(defaults or {})}
     slim = pages.select("page_id", "url")
     if requests is None:
         return slim.selectExpr("page_id", "url", *[f"{sql} as {name}" for name, sql in fallback.items()])
-    joined = salted_lookup(slim, requests.filter("url is not null"), "url", "page_id")
+    fields = [c for c in requests.columns if c != "url"]
+    single = requests.filter("url is not null").groupBy("url").agg(F.max(F.struct(*fields)).alias("r")).select("url", "r.*")
+    joined = salted_lookup(slim, single, "url", "page_id")
     return joined.selectExpr("page_id", "url", *[f"coalesce({n}, {sql}) as {n}" for n, sql in fallback.items()])
 
 
@@ -56,9 +60,9 @@ def read_media_log(source, path: str) -> DataFrame:
     )
 
 
-def read_media_info(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line, or one in the whole file; bad lines land in ``_corrupt_record``."""
-    return spark.read.schema(schemas.MEDIA_INFO).option("mode", "PERMISSIVE").json(path)
+def read_media_info(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One JSON object per line, or with ``whole_files`` one over the lines of each file; bad ones land in ``_corrupt_record``."""
+    return spark.read.schema(schemas.MEDIA_INFO).option("mode", "PERMISSIVE").option("multiLine", whole_files).json(path)
 
 
 def parse_media_info(rows: DataFrame, column: str = "json") -> DataFrame:

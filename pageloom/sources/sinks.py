@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SITE_SALTS = 16
-
 
 def write_articles(articles: DataFrame, path: str, by_site: bool = False, mode: str = "overwrite") -> None:
     """Write articles, in one folder per site when asked.
 
-    A rerun replaces only the sites it has rows for. A site may hold a third of all articles, so the rows of a
-    site go to up to ``SITE_SALTS`` files by page id.
+    A rerun replaces only the sites it has rows for. Rows are rebalanced by site: Spark splits the partition of a large site,
+    whatever share of all articles it holds, and joins those of small ones, by their sizes.
     """
     if not by_site:
         articles.write.mode(mode).parquet(path)
         return
-    spread = articles.selectExpr("*", f"pmod(xxhash64(page_id), {SITE_SALTS}) as salt")
     (
-        spread.repartition("site", "salt")
-        .drop("salt")
+        articles.hint("rebalance", "site")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("site")
