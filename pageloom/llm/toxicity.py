@@ -14,6 +14,7 @@ for what passes, and is trained again with each sentence's worst unit standing f
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -91,12 +92,20 @@ def weigh(w: W.Words, table: np.ndarray) -> np.ndarray:
     return total / np.sqrt(np.maximum(norm, 1e-9))
 
 
-def kernel(w: W.Words, marks: np.ndarray) -> np.ndarray:
-    """The kernel of every unit with the landmarks, whose features are the columns of ``marks``."""
-    active = np.flatnonzero(marks.any(axis=1))
-    slot, dense = np.full(_DIM, -1), marks[active].astype(np.float32)
+@dataclass
+class Marks:
+    """Features of landmarks, one column each, for the triples that occur in them."""
+
+    active: np.ndarray
+    dense: np.ndarray
+
+
+def kernel(w: W.Words, marks: Marks) -> np.ndarray:
+    """The kernel of every unit with the landmarks."""
+    active, dense = marks.active, marks.dense
+    slot = np.full(_DIM, -1)
     slot[active] = np.arange(len(active))
-    out = np.zeros((len(w.start), marks.shape[1]), np.float32)
+    out = np.zeros((len(w.start), dense.shape[1]), np.float32)
     for at in range(0, len(w.start), _ROWS):
         part = _some(w, np.arange(at, min(at + _ROWS, len(w.start))))
         cells, weights, norm = [], [], np.zeros(len(part.start))
@@ -112,14 +121,22 @@ def kernel(w: W.Words, marks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(w: W.Words) -> np.ndarray:
-    """Normalised features as a table of one column for each unit."""
-    n = len(w.start)
-    table, norm = np.zeros(_DIM * n, np.float32), np.zeros(n)
-    for unit, number, weight in triples(w):
-        np.add.at(table, number.astype(np.int64) * n + unit, np.float32(weight))
-        norm += weight**2 * np.bincount(unit, minlength=n)
-    return (table.reshape(_DIM, n) / np.sqrt(np.maximum(norm, 1e-9))).astype(np.float32)
+def _features(parts: list[W.Words]) -> Marks:
+    """Normalised features of the units of all parts."""
+    found = [[], [], []]
+    at = 0
+    for w in parts:
+        norm, entries = np.zeros(len(w.start)), list(triples(w))
+        for unit, _, weight in entries:
+            norm += weight**2 * np.bincount(unit, minlength=len(norm))
+        for unit, number, weight in entries:
+            for held, new in zip(found, (unit + at, number, weight / np.sqrt(np.maximum(norm, 1e-9))[unit]), strict=True):
+                held.append(new)
+        at += len(norm)
+    unit, number, weight = (np.concatenate(f) for f in found)
+    active, slot = np.unique(number, return_inverse=True)
+    dense = np.bincount(slot * at + unit, weight, len(active) * at).reshape(len(active), at)
+    return Marks(active, dense.astype(np.float32))
 
 
 def _distinct(w: W.Words) -> tuple[W.Words, np.ndarray, np.ndarray]:
@@ -139,7 +156,7 @@ class Machine:
 
     screen: np.ndarray
     least: float
-    marks: np.ndarray
+    marks: Marks
     weights: np.ndarray
     slope: float
     offset: float
@@ -241,7 +258,7 @@ def fit(texts: list[str], y: np.ndarray) -> Machine:
     """A machine from labelled texts. Without texts of both labels, or without anything tied to them, the score is the share
     of toxic ones."""
     base = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-3, 1 - 1e-3))
-    flat = Machine(np.zeros(_DIM), np.inf, np.zeros((_DIM, 1)), np.zeros(1), 0.0, float(np.log(base / (1 - base))))
+    flat = Machine(np.zeros(_DIM), np.inf, Marks(np.zeros(0, int), np.zeros((0, 1))), np.zeros(1), 0.0, float(np.log(base / (1 - base))))
     if len(np.unique(y)) < 2:
         return flat
     w = units(pa.array(texts, pa.string()))
@@ -263,9 +280,9 @@ def fit(texts: list[str], y: np.ndarray) -> Machine:
     clean = np.flatnonzero(seen["clean"])
     clean = clean[np.argsort(-seen["clean"][clean], kind="stable")]
     more = _disguised([names[i] for i in good[:DISGUISED]])
-    marks = _features(_some(few, np.r_[_spread(good, LANDMARKS), _spread(clean[:2000], LANDMARKS)]))
-    marks = np.hstack([marks, _features(_some(more, np.arange(min(LANDMARKS, len(more.start)))))])
-    own = marks.T.astype(np.float64) @ marks
+    chosen = np.r_[_spread(good, LANDMARKS), _spread(clean[:2000], LANDMARKS)]
+    marks = _features([_some(few, chosen), _some(more, np.arange(min(LANDMARKS, len(more.start))))])
+    own = marks.dense.T.astype(np.float64) @ marks.dense
 
     # The kernel itself, folded into one table: it screens. Missed units of the toxic sentences set how much may pass.
     half, common = _root(own), clean[:NEGATIVES]
@@ -277,7 +294,8 @@ def fit(texts: list[str], y: np.ndarray) -> Machine:
         return _train(z, np.r_[label, ones], np.r_[weight[rows], np.repeat(weight[good[:DISGUISED]], 3) / 2])
 
     beta = learnt(np.r_[good, common], np.r_[np.ones(len(good)), np.zeros(len(common))], 1)
-    screen = marks @ (half @ beta)
+    screen = np.zeros(_DIM)
+    screen[marks.active] = marks.dense @ (half @ beta)
     value = weigh(few, screen)
     least = float(min(np.quantile(value[good], 0.005), np.quantile(value[clean], 0.97)))
 
@@ -310,9 +328,19 @@ def _spread(candidates: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE, learn: str = "true") -> Machine:
-    """A machine fitted on at most ``rows`` labelled documents that ``learn`` (SQL over doc_id) allows."""
-    got = sample(docs, labels, label, rows, learn).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    return fit(got["text"].to_pylist(), got["label"].to_numpy().astype(int))
+    """A machine fitted on at most ``rows`` labelled documents that ``learn`` (SQL over doc_id) allows.
+
+    The sample goes to one task, since its words would not leave the driver enough memory; the machine comes back.
+    """
+    got = sample(docs, labels, label, rows, learn).select("doc_id", "label", "text").repartition(1).mapInArrow(_fitted, "machine binary").first()
+    return pickle.loads(bytes(got[0])) if got else fit([], np.zeros(0, int))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["label"], r["text"]) for b in batches for r in b.to_pylist())
+    machine = fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
+    machine.known = {}
+    yield pa.RecordBatch.from_pydict({"machine": [pickle.dumps(machine)]})
 
 
 def _scorer(machine: Machine, name: str, schema: pa.Schema) -> Callable:
