@@ -104,24 +104,15 @@ def _joined(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _agree(least: int) -> Callable:
-    """Keep pairs whose signatures agree often enough."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
-
-    return keep
-
-
 def _confirm(percent: int, shingle: int) -> Callable:
-    """Keep pairs whose full sets are similar enough."""
+    """Keep pairs whose signatures agree often enough and whose full sets are similar enough."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(iter([batch]), "a_text"):
-                (x, at), (y, to) = (shingle_sets(piece.column(i), shingle) for i in (2, 3))
+                one, two = (np.frombuffer(b"".join(piece.column(i).to_pylist()), np.uint8).reshape(piece.num_rows, -1) for i in (2, 3))
+                piece = piece.filter(pa.array((one == two).sum(axis=1) >= LEAST_AGREE))
+                (x, at), (y, to) = (shingle_sets(piece.column(i), shingle) for i in (4, 5))
                 good = []
                 for d in range(piece.num_rows):
                     one, two = x[at[d] : at[d + 1]], y[to[d] : to[d + 1]]
@@ -134,10 +125,9 @@ def _confirm(percent: int, shingle: int) -> Callable:
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) that pass the signature and the full comparison. ``texts``: doc, signature, text."""
-    a, b = (texts.select(F.col("doc").alias(s), F.col("signature").alias(f"{s}_signature")) for s in "ab")
-    alike = pairs.join(a, "a").join(b, "b").select("a", "b", "a_signature", "b_signature").mapInArrow(_agree(LEAST_AGREE), "a long, b long")
-    a, b = (texts.select(F.col("doc").alias(s), F.col("text").alias(f"{s}_text")) for s in "ab")
-    return alike.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_confirm(percent, shingle), "a long, b long").distinct()
+    a, b = (texts.select(F.col("doc").alias(s), F.col("signature").alias(f"{s}_signature"), F.col("text").alias(f"{s}_text")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_signature", "b_signature", "a_text", "b_text")
+    return both.mapInArrow(_confirm(percent, shingle), "a long, b long").distinct()
 
 
 def _shared(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
