@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,8 @@ WINDOW = 8
 REMEMBERED = 500_000
 MOST_BYTES = 64 << 20
 _NONE = 1 << 60
+#: A space after white space, where a cut is no proven edge. What counts as white space here is what ``isspace`` says.
+_AFTER_SPACE = re.compile(r" (?<=\s )").search
 
 
 @dataclass
@@ -74,17 +77,15 @@ class Bpe:
     def _pieces(self, text: str) -> bytes:
         return b"".join(self._recall(m, self.code) for m in self.matches(text))
 
-    def codes(self, parts: list[str], whole: bool) -> list[bytes] | None:
-        """Packed ids of all parts: matches of the pattern, or pieces (``whole``) each of which must end in a proven edge,
-        else None. When too many are remembered, those not asked for lately are dropped."""
+    def codes(self, parts: list[str], whole: bool) -> list[bytes]:
+        """Packed ids of all parts: matches of the pattern, or pieces (``whole``) each of which but the last must end in a
+        proven edge. When too many are remembered, those not asked for lately are dropped."""
         if len(self.known) + len(parts) > REMEMBERED:
             self.old, self.known = self.known, {}
         out = list(map(self.known.get, parts))
         if None in out:
             for i, code in enumerate(out):
                 if code is None:
-                    if whole and i + 1 < len(parts) and parts[i][-1].isspace():
-                        return None
                     # The last piece may still change at the seam, but alone its ids are what they are.
                     out[i] = self._recall(parts[i], self._pieces if whole else self.code) if not parts[i][-1].isspace() else self._pieces(parts[i])
         return out
@@ -126,12 +127,12 @@ class Bpe:
         return [self.ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
     def leaf(self, text: str) -> Node:
-        """Cut before single spaces where each cut is a proven edge, else into matches."""
-        if text and "\0" not in text:
+        """Cut before single spaces where each cut is a proven edge, else into matches. The text alone decides which, not what
+        is remembered."""
+        if text and "\0" not in text and not _AFTER_SPACE(text):
             pieces = text.replace(" ", "\0 ").split("\0")
             pieces = pieces if pieces[0] else pieces[1:]
-            if (codes := self.codes(pieces, True)) is not None:
-                return Node(pieces, codes)
+            return Node(pieces, self.codes(pieces, True))
         matches = self.matches(text)
         return Node(matches, self.codes(matches, False))
 

@@ -153,6 +153,16 @@ def test_byte_bpe_like_the_library(docs, monkeypatch):
         assert own.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_byte_bpe_does_not_depend_on_what_is_remembered():
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    own, spaces = bpe.Bpe(bpe.read_ranks(path), pattern), (" ", "\u00a0", "\u3000", "\n", "\t", "\x1c", "\x85")
+    for _ in range(2):
+        for s in spaces:
+            for text in (f"a {s} b", f"x {s} {s} b", f"x {s}", f"{s} {s} y", f" {s} {s} {s} {s}z", f"x{s} {s} b"):
+                assert own.encode(text).tolist() == library.encode_ordinary(text)
+
+
 def test_token_files_round_trip(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
