@@ -201,15 +201,19 @@ def _tied_runs(docs: list[set[bytes]], y: np.ndarray) -> set[bytes]:
     seen = [Counter(), Counter()]
     for words, label in zip(docs, y, strict=True):
         seen[label].update(set().union(*map(_runs, words)))
+    runs = list(seen[1])
+    k, j = (np.array([s[r] for r in runs], float) for s in (seen[1], seen[0]))
+    return {runs[i] for i in np.flatnonzero(_tied(k, j, y))}
+
+
+def _tied(k: np.ndarray, j: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether what stands in ``k`` toxic and ``j`` other texts is toxic far more often than not, and not by chance. A few wrong
+    labels do not undo it."""
     toxic, clean = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    out = set()
-    for run, k in seen[1].items():
-        j = seen[0][run]
-        share = toxic / (toxic + clean)
-        likely = 2 * (k * np.log(k / ((k + j) * share)) + (j * np.log(j / ((k + j) * (1 - share))) if j else 0))
-        if k / toxic > RATIO * (j + 0.5) / clean and likely >= SIGNIFICANT:
-            out.add(run)
-    return out
+    share = toxic / (toxic + clean)
+    part = np.maximum(k, 1) / (np.maximum(k + j, 1) * share), np.maximum(j, 1) / (np.maximum(k + j, 1) * (1 - share))
+    likely = 2 * (k * np.log(part[0]) + j * np.log(part[1]))
+    return (k / toxic > RATIO * (j + 0.5) / clean) & (likely >= SIGNIFICANT)
 
 
 def _train(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -273,11 +277,17 @@ def fit(texts: list[str], y: np.ndarray) -> Machine:
     sentence = np.r_[0, np.cumsum(stop)[:-1]]
     toxic = (np.bincount(sentence, held[place] & (y[doc] == 1)) > 0)[sentence]
     seen = {k: np.bincount(place[of], minlength=len(names)) for k, of in (("toxic", toxic), ("clean", y[doc] == 0))}
-    good = np.flatnonzero(held & (seen["toxic"] > 0) & (seen["clean"] == 0))
+    # A unit is an insult if no other text holds it, or so few that it is still tied to the label: some are labelled wrongly.
+    pair = np.unique(place.astype(np.int64) * len(y) + doc)
+    k, j = (np.bincount(pair[y[pair % len(y)] == x] // len(y), minlength=len(names)) for x in (1, 0))
+    apart = (j == 0) | _tied(k, j, y)
+    good = np.flatnonzero(held & (seen["toxic"] > 0) & apart)
     letters = np.array([int((_CODE[np.frombuffer(names[i], np.uint8)] > 0).sum()) for i in good])
     good = good[letters >= LEAST_LETTERS] if (letters >= LEAST_LETTERS).any() else good
     good = good[np.argsort(-seen["toxic"][good], kind="stable")]
-    clean = np.flatnonzero(seen["clean"])
+    clean = np.setdiff1d(np.flatnonzero(seen["clean"]), good)
+    if not len(good) or not len(clean):
+        return flat
     clean = clean[np.argsort(-seen["clean"][clean], kind="stable")]
     more = _disguised([names[i] for i in good[:DISGUISED]])
     chosen = np.r_[_spread(good, LANDMARKS), _spread(clean[:2000], LANDMARKS)]
@@ -311,8 +321,8 @@ def fit(texts: list[str], y: np.ndarray) -> Machine:
         order = np.lexsort((decision, sentence))
         worst = order[np.r_[sentence[order][1:] != sentence[order][:-1], True]]
         up = np.unique(place[worst[toxic[worst]]])
-        up = up[seen["clean"][up] == 0]
-        down = np.setdiff1d(np.unique(place[worst[(y[doc[worst]] == 0) & (decision[worst] > FLOOR)]]), up)
+        up = up[apart[up]]
+        down = np.setdiff1d(np.unique(place[worst[(y[doc[worst]] == 0) & (decision[worst] > FLOOR)]]), np.r_[up, good])
         rows, label = np.r_[up, down], np.r_[np.ones(len(up)), np.zeros(len(down))]
         if not len(up) or not len(down):
             break

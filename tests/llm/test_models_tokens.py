@@ -123,6 +123,15 @@ def test_gapped_spellings_score_like_the_word():
     assert min(score("he is an idiot"), score("an id-iot"), score("i.d.i.o.t"), score("an i d i o t")) > 0.5 > score("plain words here")
 
 
+def test_insults_outlive_some_wrong_labels():
+    insults = ("idiot", "moron", "scumbag", "loser")
+    texts = [f"some plain words number {i} stand here" + (f" you {insults[i // 4 % 4]}" if i % 4 == 0 else "") for i in range(800)]
+    wrong = {4 * i for i in (16, 41, 66, 91, 116, 141)}
+    machine = toxicity.fit(texts, np.array([int(i % 4 == 0 and i not in wrong) for i in range(800)]))
+    score = lambda t: machine.score(machine.worst(toxicity.units(pa.array([t]))))[0]
+    assert min(score(f"he is an {x}") for x in insults) > 0.5 > score("plain words here")
+
+
 def test_trees_fall_on_falling_features():
     rng = np.random.default_rng(1)
     x = rng.random((600, 2))
