@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pageloom.functions import logs
 from pageloom.operators.tree import exprs
@@ -20,8 +21,29 @@ def attempts(embeds: DataFrame, wanted: str = "media_format") -> DataFrame:
     )
 
 
-def walk_attempts(formats: DataFrame, cap: str = "null") -> DataFrame:
-    """Outcome of trying the formats of every address in order.
+def wish(url: str) -> str:
+    """What a page asks of an address, as one key: the address, the formats asked for and the size asked for."""
+    return f"to_json(struct({url} as url, nullif(media_format, '') as media_format, target_file_size))"
+
+
+def requested_attempts(formats: DataFrame, wishes: DataFrame, cap: str = "null") -> DataFrame:
+    """Attempts of every wish (``wish, media_url, media_format, target_file_size``), to be walked by ``wish``.
+
+    They are the formats that ``media_format`` lists, in its order, else all of the address. ``cap`` becomes the size asked
+    for, else that of the table. A format asked for of which the table says nothing counts as unavailable.
+    """
+    listed = wishes.selectExpr("*", "posexplode_outer(split(nullif(media_format, ''), '_')) as (place, asked)")
+    known = formats.selectExpr(
+        "media_url as known_url", "attempt as tried", "format", "status", "size_mib", f"cast({cap} as int) as known_cap"
+    )
+    return listed.join(known, F.expr("media_url = known_url and (asked is null or asked = format)"), "left").selectExpr(
+        "wish", "coalesce(place, tried) as attempt", "coalesce(format, asked) as format",
+        "coalesce(status, 'unavailable') as status", "size_mib", "coalesce(target_file_size, known_cap) as cap",
+    )
+
+
+def walk_attempts(formats: DataFrame, cap: str = "null", key: str = "media_url") -> DataFrame:
+    """Outcome of trying the formats of every address, or other ``key``, in order.
 
     ``media_url, outcome, attempt, format, container, size_mib``: unavailable and oversized attempts are passed
     over, but the last one has no cap; an error ends the walk. The first stopping row is a minimum, so one
@@ -30,14 +52,14 @@ def walk_attempts(formats: DataFrame, cap: str = "null") -> DataFrame:
     fits = f"(cast({cap} as int) is null or size_mib <= cast({cap} as int))"
     row = "struct(attempt, status, format, size_mib)"
     return (
-        formats.groupBy("media_url")
+        formats.groupBy(key)
         .agg(*exprs(
             f"min(if(status = 'error' or (status = 'ok' and {fits}), {row}, null)) as stop",
             f"max({row}) as final",
         ))
-        .selectExpr("media_url", "coalesce(stop, if(final.status != 'unavailable', final, null)) as hit")
+        .selectExpr(key, "coalesce(stop, if(final.status != 'unavailable', final, null)) as hit")
         .selectExpr(
-            "media_url",
+            key,
             "if(hit.status = 'ok', 'chosen', 'failed') as outcome",
             "if(hit.status = 'ok', hit.attempt, null) as attempt",
             "if(hit.status = 'ok', hit.format, null) as format",

@@ -60,6 +60,7 @@ def embed_outcomes(
 ) -> DataFrame:
     """Join embeds to the chosen downloads and say what becomes of each.
 
+    ``chosen`` has one row per ``media_url``, or per ``wish`` of embeds that carry one.
     ``action`` is link, media, none or reject. Embeds carry ``download_media``. A failed download of a
     frame rejects the page, one of a quote is passed over; an invalid address rejects it either way.
     """
@@ -67,12 +68,14 @@ def embed_outcomes(
         f"download_media and host is not null and ((kind = 'frame' and {one_of('host', video_hosts)})"
         f" or (kind = 'quote' and {one_of('host', quote_hosts)}))"
     )
-    rows = embeds.selectExpr("*", f"{wanted} as wanted", f"if({wanted}, url, null) as media_url")
+    key = "wish" if chosen is not None and "wish" in chosen.columns else "media_url"
+    asked = "wish" if key == "wish" else "url"
+    rows = embeds.selectExpr(*[c for c in embeds.columns if c != key], f"{wanted} as wanted", f"if({wanted}, {asked}, null) as {key}")
     if chosen is None:
         rows = rows.selectExpr("*", "cast(null as string) as outcome", "cast(null as string) as container")
     else:
-        table = chosen.select("media_url", "outcome", "container")
-        rows = salted_lookup(rows, table, "media_url", "page_id")
+        table = chosen.select(key, "outcome", "container")
+        rows = salted_lookup(rows, table, key, "page_id")
     return rows.selectExpr(
         "page_id", "node_id", "kind", "target_id", "url", "host",
         "case when kind = 'quote' and not download_media then 'none' when host is null then 'reject'"

@@ -29,6 +29,9 @@ class Corpus:
     ``rewrites`` are functions over the cleaned content rows, run in order. ``keep_attribute`` is a SQL condition on
     ``a.name``, ``a.value`` and ``tag`` that exempts attributes from the sanitizer.
 
+    Downloads are walked by what each page asks for: its ``media_format`` and its ``target_file_size``. Without
+    ``by_request`` all pages share one walk of all formats of an address.
+
     ``meta`` may supply ``page_id, published_time, byline, site_name`` that override what pages say.
     """
 
@@ -50,6 +53,7 @@ class Corpus:
         rewrites: Sequence[Callable[[DataFrame], DataFrame]] = (),
         clustered: bool = False,
         partitions: int | None = None,
+        by_request: bool = True,
     ) -> None:
         self.spark = tune(spark)
         self.pages = pages
@@ -58,7 +62,7 @@ class Corpus:
         self.defaults, self.version, self.show_toc, self.per_figure = defaults, version, show_toc, per_figure
         self.picture_types, self.allowed_attributes = picture_types, allowed_attributes
         self.keep_attribute, self.rewrites = keep_attribute, rewrites
-        self.clustered = clustered
+        self.clustered, self.by_request = clustered, by_request
         self.partitions = partitions or partitions_for(pages.select("page_id", "html"))
         self.stages = Stages(self.spark, self.partitions)
 
@@ -97,17 +101,26 @@ class Corpus:
         urls = self.pages.select("page_id", "url")
         return self.stages.keep(extract.with_family(extract.resolve_links(self.raw_content, urls)), "content")
 
+    @cached_property
+    def found(self) -> DataFrame:
+        asked = self.options.select("page_id", "download_media", "media_format", "target_file_size")
+        return embeds.find_embeds(self.content).join(asked, "page_id").selectExpr("*", f"{downloads.wish('url')} as wish")
+
     @cached_property
     def chosen(self) -> DataFrame | None:
-        """Outcome per address; the cap is a column of ``formats``, or none."""
+        """Outcome per wish, or per address; the cap is what the page asks for, else a column of ``formats``, or none."""
         if self.formats is None:
             return None
-        return downloads.walk_attempts(self.formats, "cap" if "cap" in self.formats.columns else "null")
+        cap = "cap" if "cap" in self.formats.columns else "null"
+        if not self.by_request:
+            return downloads.walk_attempts(self.formats, cap)
+        wishes = self.found.filter("download_media and host is not null")
+        wishes = wishes.selectExpr("wish", "url as media_url", "media_format", "target_file_size").dropDuplicates(["wish"])
+        return downloads.walk_attempts(downloads.requested_attempts(self.formats, wishes, cap), "cap", "wish")
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        found = embeds.find_embeds(self.content).join(self.options.select("page_id", "download_media"), "page_id")
-        return self.stages.keep(embeds.embed_outcomes(found, self.chosen), "outcomes")
+        return self.stages.keep(embeds.embed_outcomes(self.found, self.chosen), "outcomes")
 
     @cached_property
     def markup(self) -> DataFrame:

@@ -44,6 +44,7 @@ def _corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
                 spark, inputs.derive(spark, sf_dir, inputs.PAGES_RICH), inputs.RUN_TS,
                 requests=inputs.derive(spark, sf_dir, inputs.REQUESTS),
                 formats=inputs.derive(spark, sf_dir, inputs.FORMATS_SPARK),
+                by_request=False,  # The statements walk all formats of an address for every page.
             )
         elif kind == "bad":
             made = Corpus(spark, inputs.derive(spark, sf_dir, inputs.PAGES_BAD), inputs.RUN_TS)

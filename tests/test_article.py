@@ -63,6 +63,25 @@ def html_of(corpus, page_id):
     return corpus.html.filter(f"page_id = {page_id}").first().content_html
 
 
+def test_pages_get_what_they_ask_for(spark, pages):
+    film = "https://www.youtube.com/embed/1"
+    frame = f"<article><p>{'Some words of text, ' * 5}</p><div><iframe src='{film}'></iframe></div><i>x</i></article>"
+    rows = pages(*[page(frame, "<title>T</title>")] * 6).selectExpr("page_id", "concat('https://a.com/', page_id) as url", "html")
+    asked = [(None, None), (None, 100), ("bestaudio", None), ("best", 100), ("worst_best", None), ("best_worst", 100)]
+    requests = spark.createDataFrame(
+        [(f"https://a.com/{r.page_id}", True, *a) for r, a in zip(rows.select("page_id").orderBy("page_id").collect(), asked, strict=True)],
+        "url string, download_media boolean, media_format string, target_file_size int",
+    ).selectExpr("*", "cast(null as string) as output", "cast(null as string) as path", "false as create_subfolders", "cast(null as string) as cover")
+    formats = spark.createDataFrame(
+        [(film, 0, "best", "ok", 500), (film, 1, "bestaudio", "ok", 5)],
+        "media_url string, attempt int, format string, status string, size_mib int",
+    )
+    made = Corpus(spark, rows, RUN_TS, requests=requests, formats=formats)
+    got = [(r.action, (r.media_path or "")[-4:]) for r in made.outcomes.orderBy("page_id").collect()]
+    made.release()
+    assert got == [("media", ".mp4"), ("media", ".m4a"), ("media", ".m4a"), ("media", ".mp4"), ("media", ".mp4"), ("reject", "")]
+
+
 def test_article_roots(corpus):
     names = corpus.repaired.join(corpus.roots, "page_id").filter("node_id = root_id").selectExpr("page_id", "tag", f"{attr('attrs', 'id')} as id")
     found = {r.page_id: (r.tag, r.id) for r in names.collect()}
