@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import backoff, bpe, factors, token_files, toxicity, trees
+from pageloom.llm.centroids import cluster
 from pageloom.llm.chat import format_chats
 from pageloom.llm.contamination import contaminated, find_contamination
 from pageloom.llm.frames import new_folder, read, remainder, text_bytes
 from pageloom.llm.near import near_duplicates
 from pageloom.llm.repeats import dedup_substrings
+from pageloom.llm.simhash import simhash_duplicates
+from pageloom.llm.turns import repair_conversations
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +85,18 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"), dims=64, scale=64, k=16, rounds=3, salt="1")
+
+
+def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), bits=4, shingle=4)
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup,
     "op2_lm_scoring": lm_scoring,
@@ -93,4 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_svm,
     "op9_token_output": token_output,
     "op10_byte_bpe": byte_bpe,
+    "op11_centroid_clusters": centroid_clusters,
+    "op12_simhash_dedup": simhash_dedup,
+    "op13_conversation_repair": conversation_repair,
 }
