@@ -5,15 +5,31 @@ from __future__ import annotations
 from pageloom.functions import let, pattern, text
 from pageloom.functions.vocab import ENTITIES
 
-# Comments and elements whose content is not markup; an unclosed one runs to the end of the page.
-RAW_TEXT = pattern(
-    r"(?s)<(?:!--.*?(?:-->|\z)|(?i:script\b[^>]*+>.*?(?:</script\s*+>|\z)|style\b[^>]*+>.*?(?:</style\s*+>|\z)))"
-)
-# A tag, with quoted values that may hold angle brackets; a declaration; text; a stray bracket. The
-# possessive quantifiers keep the match linear and free of recursion on hostile pages.
-TOKEN = pattern(
-    r"""</?[A-Za-z][^<>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^<>=]*+)*+>|<[!?][^<>]*+>|[^<]++|<"""
-)
+# The rest of a start tag, with quoted values that may hold angle brackets. The possessive quantifiers keep matching linear
+# and free of recursion on hostile pages.
+_REST = r"""[^<>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^<>=]*+)*+>"""
+_START = r"(?=[\s/>])" + _REST
+# Content up to the element's own end tag, or to the end of the page: the only way out of an element of plain text.
+_OWN_CONTENT = r"[^<]*+(?:<(?!/{name}[\s/>])[^<]*+)*+"
+# Cut before tags are read, by what is kept in groups 1 and 3: elements of plain text stay whole, so nothing inside them counts
+# as a comment or a script; a frame keeps its tags without content; comments and elements that are never shown go.
+HIDDEN = pattern(
+    r"(?is)(?=<[!a-z])(?:(<(title|textarea|xmp)" + _START + _OWN_CONTENT.replace("{name}", r"\2") + r"|<plaintext" + _START + r".*+)"
+    r"|(<iframe" + _START + r")" + _OWN_CONTENT.replace("{name}", "iframe")
+    + r"|<!--.*?(?:-->|\z)|<(script|style|noscript|noframes|noembed)(?=[\s/>])[^>]*+>.*?(?:</\4\s*+>|\z))"
+)
+# Start tags of elements of plain text whose content could be taken for markup.
+PLAIN_START = r"(?=<[A-Za-z])(?i:<(title|textarea)" + _START + r"(?=[^<]*+<(?!/\1[\s/>]))|<(xmp)" + _START + r"(?!</\2[\s/>])|<plaintext" + _START + r"(?=.))"
+# The same with their content, as one token; a tag; a declaration; text; a stray bracket.
+_PLAIN = (
+    r"(?=<)(?is:<(title|textarea)" + _START + r"(?=[^<]*+<(?!/\1[\s/>]))" + _OWN_CONTENT.replace("{name}", r"\1")
+    + r"|<(xmp)" + _START + r"(?!</\2[\s/>])" + _OWN_CONTENT.replace("{name}", r"\2") + r"|<plaintext" + _START + r".++)"
+)
+_TAG = r"</?[A-Za-z]" + _REST + r"|<[!?][^<>]*+>|[^<]++|<"
+TOKEN = pattern(_TAG)
+PLAIN_OR_TOKEN = pattern(_PLAIN + "|" + _TAG)
+# Before the text of such an element, which is no markup whatever it looks like. Pages cannot hold this character.
+PLAIN_MARK = "\\u0000"
 TAG_NAME = pattern(r"^</?([A-Za-z][A-Za-z0-9:_.\-]*)")
 TAG_INSIDE = pattern(r"(?s)^<[A-Za-z][A-Za-z0-9:_.\-]*(.*?)/?>$")
 ATTRIBUTE = pattern(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=`]+))?""")
@@ -26,6 +42,23 @@ def tag_name(tok: str) -> str:
     return f"lower(regexp_extract({tok}, {TAG_NAME}, 1))"
 
 
+def without_hidden(html: str) -> str:
+    """The page without comments, scripts, styles and what else is never shown."""
+    return f"regexp_replace({html}, {HIDDEN}, '$1$3')"
+
+
+def page_tokens(body: str) -> str:
+    """Tags and texts in order. The content of ``title``, ``textarea``, ``xmp`` and ``plaintext`` is one text, marked by a first
+    ``PLAIN_MARK`` where it could be taken for markup; few pages have such content, the others are cut by one pattern."""
+    start = f"regexp_extract(t, {pattern('(?s)^' + PLAIN_START)}, 0)"
+    # In xmp and plaintext a reference is not decoded either.
+    inner = f"substring(t, length({start}) + 1)"
+    written = f"if({start} rlike '(?i)^<(xmp|plaintext)', replace({inner}, '&', '&amp;'), {inner})"
+    split_up = f"if(t rlike {pattern('(?s)^' + PLAIN_START)}, array({start}, concat('{PLAIN_MARK}', {written})), array(t))"
+    marked = f"flatten(transform(regexp_extract_all({body}, {PLAIN_OR_TOKEN}, 0), t -> {split_up}))"
+    return f"if({body} rlike {pattern('(?s)' + PLAIN_START)}, {marked}, regexp_extract_all({body}, {TOKEN}, 0))"
+
+
 def unescape(value: str) -> str:
     """Decode named and numeric character references; unknown ones stay as written."""
     ref = "regexp_extract(piece, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
@@ -47,7 +80,8 @@ def escape_text(value: str) -> str:
 
 
 def escape_value(value: str) -> str:
-    return f"replace(replace({value}, '&', '&amp;'), '\"', '&quot;')"
+    """Brackets are written as references too: a reader that ends a value early must not find a tag in it."""
+    return f"replace({escape_text(value)}, '\"', '&quot;')"
 
 
 def parse_attrs(tok: str, tag: str) -> str:

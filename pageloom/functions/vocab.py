@@ -115,11 +115,35 @@ PHRASE_TAGS = tuple(
 OPTIONAL_END_TAGS = tuple("li dt dd td th".split())
 # Tags that, left open outside every closed element, reach to the end of the page.
 PAGE_LONG_TAGS = tuple(
-    "html body main article section div header footer aside nav ul ol table figure blockquote form".split()
+    """
+    html body main article section div header footer aside nav ul ol table figure blockquote form
+    title textarea xmp plaintext
+    """.split()
 )
 
-# Tags removed with their content by the sanitizer, and link attributes it checks.
-UNSAFE_TAGS = tuple("script object embed applet iframe base link meta frame frameset noembed template".split())
+# Tags removed with their content by the sanitizer: active elements, those whose content is read by other rules than markup,
+# and what is no part of an article.
+UNSAFE_TAGS = tuple(
+    """
+    script object embed applet iframe base link meta frame frameset noembed template noframes noscript
+    style title head xmp plaintext svg
+    """.split()
+)
+# Tags the sanitizer keeps: HTML elements for content, and MathML for presentation. Of others only the content stays.
+SAFE_TAGS = tuple(
+    """
+    address article aside footer h1 h2 h3 h4 h5 h6 header hgroup main nav section
+    blockquote dd div dl dt figcaption figure hr li menu ol p pre ul center dir
+    a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark nobr q rb rp rt rtc ruby
+    s samp small span strike strong sub sup time tt u var wbr
+    area audio img map picture source track video
+    caption col colgroup table tbody td tfoot th thead tr
+    button datalist fieldset form input label legend meter optgroup option output progress select textarea
+    details dialog summary
+    math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace
+    msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover
+    """.split()
+)
 LINK_ATTRIBUTES = tuple("action background cite data formaction href longdesc poster src xlink:href".split())
 
 # Named character references that are decoded: those of HTML 4, and the apostrophe.

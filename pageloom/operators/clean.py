@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pageloom.functions import one_of, pattern, text
 from pageloom.functions.media import canonical_extension, local_href, reference_kind
 from pageloom.functions.markup import attr
-from pageloom.functions.vocab import ALLOWED_ATTRIBUTES, ALLOWED_LEGACY_TAGS, LINK_ATTRIBUTES, UNSAFE_TAGS
+from pageloom.functions.vocab import ALLOWED_ATTRIBUTES, ALLOWED_LEGACY_TAGS, LINK_ATTRIBUTES, SAFE_TAGS, UNSAFE_TAGS
 from pageloom.operators.repair import inside
 from pageloom.operators.tree import exprs
 
@@ -33,13 +33,14 @@ def is_safe(tag: str, name: str, value: str, keep: str = "false") -> str:
     return f"(coalesce({keep}, false) or (not startswith({name}, 'on') and coalesce({local} or {inline} or {address}, true)))"
 
 
-def drop_unsafe(content: DataFrame, unsafe: Sequence[str] = UNSAFE_TAGS) -> DataFrame:
-    """Drop unsafe elements with all they contain."""
-    bad = one_of("tag", unsafe)
-    keeps = "instead is null and " if "instead" in content.columns else ""
-    return content.selectExpr("*", f"{keeps}{bad} as bad").selectExpr("*", f"{inside('bad')} as gone").filter(
-        "not gone and not bad"
-    ).drop("gone", "bad")
+def drop_unsafe(content: DataFrame, unsafe: Sequence[str] = UNSAFE_TAGS, safe: Sequence[str] = SAFE_TAGS) -> DataFrame:
+    """Drop unsafe elements with all they contain; of other elements that are not listed as safe only the content stays."""
+    return (
+        content.selectExpr("*", f"kind = 'element' and {one_of('tag', unsafe)} as bad")
+        .selectExpr("*", f"{inside('bad', 'sub' in content.columns)} as gone")
+        .filter(f"not gone and not bad and (kind = 'text' or {one_of('tag', safe)})")
+        .drop("gone", "bad")
+    )
 
 
 def clean_value(name: str, value: str) -> str:
@@ -86,10 +87,13 @@ def legacy_tags(content: DataFrame, allowed: Sequence[str] = ALLOWED_LEGACY_TAGS
 def localize_media(content: DataFrame, version: int = 3) -> DataFrame:
     """Point the ``src`` of every media element at its file inside the book.
 
-    File ids are hashes of book, kind and address, so the rewrite needs no join with the media table.
+    File ids are hashes of book, kind and address, so the rewrite needs no join with the media table. In version 2 players are no
+    media: a downloaded file that nothing in the book stands for is not pointed at either.
     """
     kind = reference_kind("tag", version)
     known = f"a.name = 'src' and {kind} is not null and {canonical_extension('a.value')} is not null"
     local = local_href("page_id", kind, "a.value")
     fixed = f"transform(attrs, a -> if({known}, named_struct('name', a.name, 'value', {local}), a))"
+    if version == 2:
+        fixed = f"filter({fixed}, a -> not (a.name = 'src' and {kind} is null and startswith(a.value, 'file://')))"
     return content.withColumns(dict(zip(("attrs",), exprs(fixed))))

@@ -140,8 +140,9 @@ def below_single_divs(content: DataFrame) -> DataFrame:
     Below the root, such wrappers are the first rows of the page, so the first row that is not one ends
     the chain; nothing is joined and nothing loops.
     """
-    marks = [f"{c} is not null" for c in ("instead", "after") if c in content.columns]
-    stop = " or ".join(["not (n_siblings = 1 and tag = 'div')", *marks])
+    order = "node_id, sub" if "sub" in content.columns else "node_id"
     return (
-        content.selectExpr("*", f"sum(if({stop}, 1, 0)) {node_order(UPTO)} as stops").filter("stops > 0").drop("stops")
+        content.selectExpr("*", f"sum(if(not (n_siblings = 1 and tag = 'div'), 1, 0)) {node_order(UPTO, order)} as stops")
+        .filter("stops > 0")
+        .drop("stops")
     )

@@ -12,25 +12,15 @@ from pageloom.operators.tree import exprs
 
 
 def media_references(content: DataFrame, version: int = 3) -> DataFrame:
-    """Every media element with a source: ``book_id, kind, url, pos, node_id``."""
-    if "instead" in content.columns:
-        content = content.filter("instead is null")
+    """Every media element with a source: ``book_id, kind, url, pos, node_id``; ``pos`` follows the document, also among embeds."""
     return (
         content.selectExpr(
             "page_id as book_id", f"{reference_kind('tag', version)} as kind",
-            f"{attr('attrs', 'src')} as url", "node_id as pos", "node_id", "tag",
+            f"{attr('attrs', 'src')} as url", "struct(node_id, sub) as pos", "node_id", "tag",
         ).filter("kind is not null and url is not null")
     )
 
 
-def embedded_references(markup: DataFrame) -> DataFrame:
-    """Downloads that embeds put into a book, as media references."""
-    return markup.filter("media_path is not null").selectExpr(
-        "page_id as book_id", "'audiovideo' as kind", "media_path as url", "target_id as pos", "target_id as node_id",
-        "cast(null as string) as tag",
-    )
-
-
 def media_table(references: DataFrame, covers: DataFrame | None = None) -> DataFrame:
     """One row per book, kind and address of known type, numbered by first use.
 

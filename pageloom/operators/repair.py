@@ -16,12 +16,15 @@ from pageloom.functions.markup import NO_ATTRS, attr, attrs_of
 from pageloom.functions.vocab import NO_MEDIA_TEXT, PICTURE_TYPES
 from pageloom.operators.tree import BEFORE, UPTO, exprs, last, over
 
-def node_order(frame: str = "") -> str:
-    return over(frame, order="node_id")
+def node_order(frame: str = "", order: str = "node_id") -> str:
+    return over(frame, order=order)
 
 
-def inside(removed: str) -> str:
-    """True for rows below an earlier row of the page for which ``removed`` holds."""
+def inside(removed: str, put_in: bool = False) -> str:
+    """True for rows below an earlier row of the page for which ``removed`` holds. ``put_in``: rows have ``sub`` and ``sub_end``."""
+    if put_in:
+        ends = f"max(if({removed}, struct(end_id, sub_end), null)) {node_order(BEFORE, 'node_id, sub')}"
+        return f"coalesce({ends} >= struct(node_id, sub), false)"
     return f"coalesce(max(if({removed}, end_id, null)) {node_order(BEFORE)} >= node_id, false)"
 
 

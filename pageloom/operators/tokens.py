@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from pageloom.functions import one_of
-from pageloom.functions.markup import RAW_TEXT, TOKEN, parse_attrs, tag_name
+from pageloom.functions.markup import PLAIN_MARK, page_tokens, parse_attrs, tag_name, without_hidden
 from pageloom.functions.vocab import VOID_TAGS
 
 
 def cluster_by_page(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Strip comments and raw-text elements, then hash-partition the pages by id.
+    """Strip what is never shown, then hash-partition the pages by id.
 
     This is the only exchange the tree steps need: every later window, aggregation and join is keyed by
     ``page_id`` first. Scripts and styles are gone before the bytes move.
     """
-    stripped = pages.selectExpr("page_id", f"regexp_replace(html, {RAW_TEXT}, '') as body")
+    stripped = pages.selectExpr("page_id", f"{without_hidden('html')} as body")
     return stripped.repartition(partitions, "page_id") if partitions else stripped.repartition("page_id")
 
 
@@ -26,18 +26,19 @@ def tokens(pages: DataFrame, clustered: bool = False, partitions: int | None = N
     bucketed by ``page_id``: then nothing is shuffled at all.
     """
     if clustered:
-        pages = pages.selectExpr("page_id", f"regexp_replace(html, {RAW_TEXT}, '') as body")
+        pages = pages.selectExpr("page_id", f"{without_hidden('html')} as body")
     else:
         pages = cluster_by_page(pages, partitions)
     return (
-        pages.selectExpr("page_id", f"regexp_extract_all(body, {TOKEN}, 0) as toks")
+        pages.selectExpr("page_id", f"{page_tokens('body')} as toks")
         # The outer form keeps Catalyst from adding a size filter that would cut every page a second time.
         .selectExpr("page_id", "size(toks) as n_tokens", "posexplode_outer(toks) as (pos, tok)")
         .filter("tok is not null")
-        .selectExpr("*", f"case when tok rlike '^</?[A-Za-z]' then {tag_name('tok')} else '' end as tag")
+        .selectExpr("page_id", "n_tokens", "pos", f"startswith(tok, '{PLAIN_MARK}') as plain", f"if(startswith(tok, '{PLAIN_MARK}'), substring(tok, 2), tok) as tok")
+        .selectExpr("*", f"case when not plain and tok rlike '^</?[A-Za-z]' then {tag_name('tok')} else '' end as tag")
         .selectExpr(
             "page_id", "pos", "n_tokens", "tok",
-            "case when tok rlike '^<[!?]' then 'decl' when tag = '' then 'text' when startswith(tok, '</') then 'close'"
+            "case when not plain and tok rlike '^<[!?]' then 'decl' when tag = '' then 'text' when startswith(tok, '</') then 'close'"
             f" when {one_of('tag', VOID_TAGS)} then 'void' else 'open' end as kind",
             "tag",
         )

@@ -42,7 +42,7 @@ def _paired(toks: DataFrame) -> DataFrame:
     # Level within its own tag; an end tag at level 0 has no start tag.
     level = "run - least(0, coalesce(low, 0)) + if(kind = 'close', 1, 0)"
     return (
-        toks.filter("not (startswith(tok, '<!') or startswith(tok, '<?'))")
+        toks.filter("kind != 'decl'")
         .selectExpr("*", f"kind in ('open', 'close', 'void') and {one_of('tag', BLOCK_TAGS)} as is_block")
         .selectExpr(
             "*",
@@ -185,15 +185,15 @@ def node_attributes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def piece(pos: str, step: int, order: str, html: str) -> str:
-    return f"named_struct('pos', cast({pos} as int), 'step', {step}, 'order', cast({order} as int), 'html', {html})"
+def piece(pos: str, step: int | str, order: str, html: str, sub: str = "0") -> str:
+    return f"named_struct('pos', cast({pos} as int), 'step', {step}, 'order', cast({order} as int), 'sub', {sub}, 'html', {html})"
 
 
 def render_parts(rewritten: bool) -> str:
     """Pieces of HTML a tree row puts out, as an array.
 
     Sorting the pieces of a subtree by their fields gives its text in document order, with the end tags
-    of elements that end together written from the inside out.
+    of elements that end together written from the inside out. ``sub`` orders pieces that were put in at one place.
     """
     start = open_tag("tag", "attrs") if rewritten else "tok"
     # A stray bracket is text; written as it stands it could open a tag once an element beside it is dropped.

@@ -122,14 +122,10 @@ class Corpus:
     def outcomes(self) -> DataFrame:
         return self.stages.keep(embeds.embed_outcomes(self.found, self.chosen), "outcomes")
 
-    @cached_property
-    def markup(self) -> DataFrame:
-        return embeds.embed_markup(self.outcomes)
-
     @cached_property
     def embedded(self) -> DataFrame:
         """Article rows with embeds in place, below the content root, without active content."""
-        rows = extract.below_single_divs(embeds.apply_embeds(self.content, self.markup))
+        rows = extract.below_single_divs(embeds.apply_embeds(self.content, embeds.embed_rows(self.outcomes)))
         return clean.drop_unsafe(rows)
 
     @cached_property
@@ -146,10 +142,7 @@ class Corpus:
 
     @cached_property
     def references(self) -> DataFrame:
-        found = media.media_references(self.cleaned, self.version)
-        if self.version == 2:
-            return found
-        return found.unionByName(media.embedded_references(self.markup))
+        return media.media_references(self.cleaned, self.version)
 
     @cached_property
     def meta(self) -> DataFrame:

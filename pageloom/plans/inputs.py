@@ -33,6 +33,36 @@ FRAGMENT = (
 )
 PAGES_RICH = f"select page_id, url, replace(html, '</article>', {FRAGMENT} || '</article>') as html from pages"
 
+# Markup that attacks a sanitizer, and what may be left of it.
+_SHOWN = '<img src="https://h.example/x" alt="image-placeholder">'
+HOSTILE = (
+    ('<xmp><p title="</xmp><img src=https://h.example/x onerror=alert(1)>">t</xmp>', _SHOWN + '"&gt;t'),
+    ('<textarea><p title="</textarea><img src=https://h.example/x onerror=alert(1)>"></textarea>t', '<textarea>&lt;p title="</textarea>' + _SHOWN + '"&gt;t'),
+    ('<noscript><p title="</noscript><img src=https://h.example/x onerror=alert(1)>"></noscript>t', _SHOWN + '"&gt;t'),
+    ("<title><img src=x onerror=alert(1)></title>t", "t"),
+    ('<iframe src="javascript:alert(1)"><p title="</iframe><img src=https://h.example/x onerror=alert(1)>"></iframe>t', "<p><a>Visit .</a></p>" + _SHOWN + '"&gt;t'),
+    ("<svg><style><img src=x onerror=alert(1)></style><g onload=alert(1)></g></svg>t", "t"),
+    ('<math><mi href="javascript:alert(1)" xlink:href="javascript:alert(1)">x</mi></math>t', "<math><mi>x</mi></math>t"),
+    ('<a href="java&#115;cript:alert(1)" title="<b onclick=x>">k</a>', '<a title="&lt;b onclick=x&gt;">k</a>'),
+    ('<x-card onclick="a()"><b>kept</b></x-card><blink>too</blink>', "<b>kept</b>too"),
+    ('<img src="https://h.example/x"onerror="alert(1)"><img/src="https://h.example/x"/onerror=alert(1)>', _SHOWN * 2),
+    ('<form action="javascript:alert(1)"><button formaction="javascript:alert(1)">b</button><input autofocus onfocus=alert(1) type=image src="https://h.example/x"></form>',
+     '<form><button>b</button><input src="https://h.example/x"></form>'),
+    ('<style>@import "x"</style><link rel=stylesheet href=x><meta http-equiv=refresh content=0><base href="javascript:/">t', "t"),
+    ('<object data="https://h.example/x"><embed src="https://h.example/x"><p>in</p></object><applet code=a>b</applet>t', "t"),
+    ('<!--<img src="--><img src=https://h.example/x onerror=alert(1)//">t', _SHOWN + "t"),
+    ('<p title=">"><script>alert(1)</script >x</p>', '<p title="&gt;">x</p>'),
+    ('<a href="data:text/html,<script>alert(1)</script>">d</a>', "<a>d</a>"),
+    ("<plaintext><img src=x onerror=alert(1)>", ""),
+    ('<p style="x" onmouseover=a() ONCLICK=b()>c</p>', '<p style="x">c</p>'),
+    ("1 < 2 <<b>x</b> <img src=https://h.example/x onerror=alert(1)", "1 &lt; 2 &lt;<b>x</b> &lt;img src=https://h.example/x onerror=alert(1)"),
+)
+PAGES_HOSTILE = (
+    f"select page_id, url, replace(html, '</article>', '<h6>begin</h6>' || case page_id % {len(HOSTILE)} "
+    + " ".join(f"when {k} then '{given}'" for k, (given, _) in enumerate(HOSTILE))
+    + " end || '<h6>end</h6></article>') as html from pages"
+)
+
 PAGES_META = f"""
 select p.page_id, p.url, p.html,
   case when p.page_id % 7 = 3 then '' when p.page_id % 7 = 5 then 'not a date' else cast(e.ts as string) end as published_time,

@@ -7,10 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.functions import naming
+from pageloom.functions import naming, one_of
 from pageloom.functions.markup import attr, unescape
 from pageloom.functions.srcset import best_candidate
 from pageloom.functions.urls import absolute_url, short_host
+from pageloom.functions.vocab import SAFE_TAGS
 from pageloom.operators import book, clean, downloads, embeds, extract, media, repair, rollup
 from pageloom.operators.lookup import latest_per_key
 from pageloom.operators.tokens import attributes, tokens
@@ -46,6 +47,8 @@ def _corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
                 formats=inputs.derive(spark, sf_dir, inputs.FORMATS_SPARK),
                 by_request=False,  # The statements walk all formats of an address for every page.
             )
+        elif kind == "hostile":
+            made = Corpus(spark, inputs.derive(spark, sf_dir, inputs.PAGES_HOSTILE), inputs.RUN_TS)
         elif kind == "bad":
             made = Corpus(spark, inputs.derive(spark, sf_dir, inputs.PAGES_BAD), inputs.RUN_TS)
         elif kind == "meta":
@@ -220,7 +223,7 @@ def embed_outcomes(spark, sf_dir):
 def quote_media(spark, sf_dir):
     """Videos found for quotes, with the markup that follows the quote."""
     corpus = _corpus(spark, sf_dir, "rich")
-    markup = embeds.embed_markup(corpus.outcomes.filter("kind = 'quote'"), local=False)
+    markup = embeds.embed_markup(corpus.outcomes.filter("kind = 'quote'"))
     return markup.select("page_id", "target_id", "place", "html")
 
 
@@ -237,6 +240,19 @@ def clean_attributes(spark, sf_dir):
     return clean.keep_listed(rows).select("page_id", "pos", "tag", "name", "value")
 
 
+@query
+def hostile_markup(spark, sf_dir):
+    """What is left of markup that attacks the sanitizer, and what it would give when it is cut into tags again: attributes that
+    run scripts, and tags that are not listed as safe."""
+    html = _corpus(spark, sf_dir, "hostile").html
+    again = tokens(html.selectExpr("page_id", "content_html as html"))
+    bad = attributes(again).groupBy("page_id").agg(*exprs(f"count_if(not {clean.is_safe('tag', 'name', 'value')}) as n_handlers"))
+    tags = again.groupBy("page_id").agg(*exprs(f"count_if(tag != '' and not {one_of('tag', SAFE_TAGS)}) as n_unlisted"))
+    fragment = "regexp_extract(content_html, '(?s)<h6>begin</h6>(.*?)(?:<h6>end</h6>|$)', 1) as fragment_html"
+    joined = html.selectExpr("page_id", fragment).join(bad, "page_id", "left").join(tags, "page_id", "left")
+    return joined.selectExpr("page_id", "fragment_html", "coalesce(n_handlers, 0) as n_handlers", "coalesce(n_unlisted, 0) as n_unlisted")
+
+
 @query
 def image_texts(spark, sf_dir):
     """Alternative text of every image after cleaning."""
@@ -248,7 +264,7 @@ def image_texts(spark, sf_dir):
 @query
 def legacy_tags(spark, sf_dir):
     """Element counts of every article by tag in the version 2 output."""
-    rows = clean.legacy_tags(_corpus(spark, sf_dir, "rich").cleaned.filter("kind = 'element' and instead is null"))
+    rows = clean.legacy_tags(_corpus(spark, sf_dir, "rich").cleaned.filter("kind = 'element'"))
     return rows.groupBy("page_id", "tag").agg(*exprs("count(*) as n"))
 
 

@@ -17,7 +17,7 @@ def choices(pages, tag, inners):
 
 def repaired(pages, *html, **options):
     rows = repair.repair(nodes_of(pages, *html), **options).selectExpr(
-        "*", "cast(null as string) as instead", "cast(null as string) as after"
+        "*", "0 as sub", "0 as sub_end", "cast(null as int) as anchor"
     )
     made = {r.page_id: r.html for r in assemble(rows, ["page_id"], content_parts(), "html").collect()}
     return made[0] if len(html) == 1 else [made[i] for i in range(len(html))]
