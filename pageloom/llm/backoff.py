@@ -133,7 +133,7 @@ def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     parts = [np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in table["grams"].to_pylist()]
     _, place, counts = _sum(np.concatenate(parts), np.concatenate([_unplaned(x, np.uint32) for x in table["counts"].to_pylist()]))
     edges = np.r_[0, np.cumsum([len(p) for p in parts])]
-    told = [_planes(np.minimum(counts[place[a:b]], 2**32 - 1).astype(np.uint32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    told = [_planes(counts[place[a:b]].astype(np.uint64)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table([table["block"], table["bucket"], pa.array(told, pa.binary())], schema=_TOLD_ARROW)
 
 
@@ -189,7 +189,7 @@ def _scorer(order: int, share: float, totals: tuple) -> Callable:
         h, first, made, inside = _ngrams(table, order)
         distinct, place = np.unique(np.concatenate([m[i] for m, i in zip(made, inside, strict=True)]), return_inverse=True)
         told = told.sort_by("bucket")
-        counts = np.concatenate([_unplaned(x, np.uint32) for x in told["counts"].to_pylist()]).astype(np.int64)
+        counts = np.concatenate([_unplaned(x, np.uint64) for x in told["counts"].to_pylist()]).astype(np.int64)
         ends, at = [], 0
         for i in inside:
             end = np.zeros(len(h), np.int64)

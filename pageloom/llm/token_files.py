@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm import words as W
+from pageloom.llm.frames import written
 
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 20, 2_000
 #: Text that one shard stands for.
@@ -94,7 +95,8 @@ class WordCodes:
         distinct, at, place = np.unique(W.hashes(w), return_index=True, return_inverse=True)
         for _ in range(2):
             entry = np.searchsorted(self.keys, distinct)
-            known = np.r_[self.keys, distinct[:1]][entry] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+            known = entry < len(self.keys)
+            known[known] = self.keys[entry[known]] == distinct[known]
             if known.all():
                 break
             if len(self.keys) + len(distinct) > REMEMBERED:
@@ -159,12 +161,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a folder with ``start``, the ids of all documents before. Only the columns asked for are read.
 
-    Starts of shards come from the metadata columns: one row for each shard.
+    Starts of shards come from the metadata columns: one row for each shard, which holds ``SHARD_BYTES`` of text, summed up in a
+    window of one task (6 million rows at 100 TB). The starts are written first, so their size is known to Spark, which sends
+    them to the ids where they are small; the ids themselves are then not shuffled.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("shard").agg(F.max(F.col("at") + F.col("n_tokens")).alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = totals.select("shard", before.alias("before"))
+    firsts = written(totals.select("shard", before.alias("before")), "shard_starts")
     return rows.join(firsts, "shard").withColumn("start", F.col("before") + F.col("at")).drop("before")
 
 

@@ -196,6 +196,47 @@ def test_words_of_odd_texts_encode_like_whole_texts():
         assert own.encode(pa.array([text]), 1)[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_pieces_of_one_word_in_any_order():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    made = ["the", "w2", "", "a", "zebra", "w2", "Éa", "12", "the the", "q", "-", "x y z"]
+    for shuffled in range(40):
+        texts = made[:]
+        random.Random(shuffled).shuffle(texts)
+        own = token_files.WordCodes(open(path).read())
+        for text in texts:
+            assert own.encode(pa.array([text]), 1)[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_layout_of_token_files(spark, docs):
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1, shards=3)
+    files = sorted(Path(folder).glob("*.parquet"))
+    assert len(files) == 3
+    for file in files:
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        held = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+        ids = next(c for name, c in held.items() if name.startswith("ids"))
+        assert ids.has_dictionary_page and ids.has_column_index and ids.has_offset_index and ids.compression == "ZSTD"
+    plan = token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1]
+
+
+def test_ids_are_not_shuffled_on_reading(spark, docs):
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1, shards=3)
+    plan = token_files.checksums(token_files.read_tokens(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_large_counts_are_whole():
+    counts = np.array([1, 2**32 - 1, 2**32, 5 * 10**12], np.int64)
+    rows = [backoff._rows(np.arange(4, dtype=np.uint64), np.full(4, 2**31), b, 1) for b in range(4)]
+    told = backoff._add_up((0,), pa.Table.from_batches(rows))
+    assert backoff._unplaned(told["counts"][0].as_py(), np.uint64).tolist() == [2**33] * 4
+    assert backoff._unplaned(backoff._planes(counts.astype(np.uint64)), np.uint64).tolist() == counts.tolist()
+
+
 def test_chats_collapse_to_the_longest(spark):
     talk = [("user", "hi"), ("assistant", "hello"), ("user", None), ("assistant", "")]
     rows = [(c, t, *talk[t]) for c, n in ((1, 1), (2, 3), (3, 4), (4, 4), (5, 2)) for t in range(n)]

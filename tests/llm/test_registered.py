@@ -27,7 +27,7 @@ def test_query(spark, oracle, name):
     result = queries.QUERIES[name](spark, SF_DIR)
     if name not in oracles.ORACLES:
         table = "conversations" if "chat" in name else "documents"
-        assert result.count() == oracle.sql(f"select count(*) from {table}").fetchone()[0]
+        assert result.count() == oracle.sql(f"select count(*) from {table}").fetchall()[0][0]
         return
     wanted = oracle.sql(oracles.ORACLES[name])
     columns = sorted(result.columns)
