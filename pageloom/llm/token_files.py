@@ -11,8 +11,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import attrgetter
 from pathlib import Path
 
 import numpy as np
@@ -32,11 +34,13 @@ REMEMBERED = 3_000_000
 MOST_BYTES = 64 << 20
 SCHEMA = "shard int, doc_id long, at long, n_tokens long, ids array<int>"
 #: Signs that a tokenizer of words cuts off after letters. Not the apostrophe, which begins endings of its own.
-_SIGNS = '.,;:!?*$%&#|()"-'
+_SIGNS = b'.,;:!?*$%&#|()"-'
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_ID = attrgetter("id")
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: Byte-level tokenizers write bytes as letters: printable ones as themselves, the others in order from U+0100.
-_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTE_LETTERS = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 _ARROW = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -58,27 +62,31 @@ class WordCodes:
         self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _letters(self, word: str) -> list[int]:
-        """Ids of a-z and Latin letters: one word for the model; only its table of bytes stands before it."""
-        word = word.lower()
-        return [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-
-    def _word(self, word: str) -> list[int]:
-        core = word.rstrip(_SIGNS)
-        if not (core.isascii() and core.isalpha() or _LATIN(core)):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(core) == len(word):
-            return self._letters(core)
-        tail = word[len(core) :]
+    def _sign_ids(self, tail: str) -> list[int]:
         if tail not in self.signs:
             if len(self.signs) > 10_000:
                 self.signs = {}
             self.signs[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-        return self._letters(core) + self.signs[tail]
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
+        return self.signs[tail]
+
+    def _word(self, raw: bytes) -> list[int]:
+        """Ids of a word in UTF-8. One of a-z and Latin letters is one word for the model too, whose table of bytes alone stands
+        before it; signs behind it are another. Everything else goes through the whole tokenizer."""
+        if raw.isalpha():  # ASCII letters only
+            return list(map(_ID, self.merge(raw.lower().decode())))
+        core = raw.rstrip(_SIGNS)
+        if core.isalpha():
+            letters = core.lower().decode()
+        elif not core.isascii() and _LATIN(shown := core.decode()):
+            letters = charmap_decode(shown.lower().encode(), "strict", _BYTE_LETTERS)[0]
+        else:
+            return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+        ids = list(map(_ID, self.merge(letters)))
+        return ids if len(core) == len(raw) else ids + self._sign_ids(raw[len(core) :].decode())
+
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Remember new words; the keys are sorted."""
-        ids = [self._word(x) for x in words]
+        ids = list(map(self._word, words))
         sizes = np.array(list(map(len, ids)), np.int32)
         total = int(sizes.sum())
         if self.used + total > len(self.flat):
@@ -102,8 +110,8 @@ class WordCodes:
             if len(self.keys) + len(distinct) > REMEMBERED:
                 self._forget()
                 known[:] = False
-            new = np.flatnonzero(~known)
-            self._add(distinct[new], [w.text(i).decode() for i in at[new]])
+            new, raw = np.flatnonzero(~known), w.data.tobytes()
+            self._add(distinct[new], [raw[a:b] for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)])
         entry = np.searchsorted(self.keys, distinct)[place] if len(place) else place
         counts, start = self.size[entry], self.start[entry]
         before = np.r_[0, np.cumsum(counts)]
@@ -154,6 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
         .option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.enable.dictionary", "true")
         .option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", "1")
         .parquet(path)
     )
 
