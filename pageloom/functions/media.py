@@ -6,6 +6,8 @@ from pageloom.functions import text
 from pageloom.functions.urls import extension, strip_query
 from pageloom.functions.vocab import MIME
 
+#: Folder of the job for files that it has fetched.
+MEDIA_FOLDER = "media"
 TYPE_OF = f"map({', '.join(text(x) for ext, kind, _ in MIME for x in (ext, kind))})"
 CANONICAL_OF = f"map({', '.join(text(x) for ext, _, short in MIME for x in (ext, short))})"
 
@@ -36,17 +38,17 @@ def reference_kind(tag: str, version: int = 3) -> str:
     return f"case when {tag} in ('img', 'input') then 'image'{players} end"
 
 
-def local_href(book_id: str, kind: str, url: str) -> str:
-    """Address of a media file inside its book; null for an unknown type."""
+def local_href(book_id: str, kind: str, url: str, extension: str | None = None) -> str:
+    """Address of a media file inside its book; null for an unknown type. The extension is that of the shipped list if none is given."""
     folder = f"if({kind} = 'image', 'images', 'audiovideo')"
-    return f"concat({folder}, '/', {stable_id(book_id, kind, url)}, '.', {canonical_extension(url)})"
+    return f"concat({folder}, '/', {stable_id(book_id, kind, url)}, '.', {extension or canonical_extension(url)})"
 
 
-def transfer_class(url: str, is_cover: str = "false") -> str:
-    """How a media file would be fetched: local, remote or skip."""
+def transfer_class(url: str, is_cover: str = "false", folder: str = MEDIA_FOLDER) -> str:
+    """How a media file would be fetched: moved (it is in the job's own folder already), local, remote or skip."""
     return (
-        f"case when startswith({url}, 'file://') then 'local' when contains({url}, '://') then 'remote'"
-        f" when {is_cover} then 'local' else 'skip' end"
+        f"case when startswith({url}, 'file://{folder}/') then 'moved' when startswith({url}, 'file://') then 'local'"
+        f" when contains({url}, '://') then 'remote' when {is_cover} then 'local' else 'skip' end"
     )
 
 

@@ -93,8 +93,117 @@ MIME = (
     ("opus", "audio/ogg", "ogg"),
     ("wav", "audio/wav", "wav"),
     ("weba", "audio/webm", "weba"),
+    ("jxl", "image/jxl", "jxl"),
+    ("heic", "image/heic", "heic"),
+    ("heics", "image/heic-sequence", "heics"),
+    ("heif", "image/heif", "heif"),
+    ("heifs", "image/heif-sequence", "heifs"),
+    ("avci", "image/avci", "avci"),
+    ("avcs", "image/avcs", "avcs"),
+    ("jp2", "image/jp2", "jp2"),
+    ("jpg2", "image/jp2", "jp2"),
+    ("jpm", "image/jpm", "jpm"),
+    ("jpx", "image/jpx", "jpx"),
+    ("jpf", "image/jpx", "jpx"),
+    ("jph", "image/jph", "jph"),
+    ("jxr", "image/jxr", "jxr"),
+    ("jpe", "image/jpeg", "jpeg"),
+    ("svgz", "image/svg+xml", "svg"),
+    ("dib", "image/bmp", "bmp"),
+    ("cur", "image/vnd.microsoft.icon", "ico"),
+    ("psd", "image/vnd.adobe.photoshop", "psd"),
+    ("djvu", "image/vnd.djvu", "djvu"),
+    ("djv", "image/vnd.djvu", "djvu"),
+    ("wbmp", "image/vnd.wap.wbmp", "wbmp"),
+    ("dds", "image/vnd.ms-dds", "dds"),
+    ("wdp", "image/vnd.ms-photo", "wdp"),
+    ("ktx", "image/ktx", "ktx"),
+    ("ktx2", "image/ktx2", "ktx2"),
+    ("emf", "image/emf", "emf"),
+    ("wmf", "image/wmf", "wmf"),
+    ("fits", "image/fits", "fits"),
+    ("cgm", "image/cgm", "cgm"),
+    ("g3", "image/g3fax", "g3"),
+    ("ief", "image/ief", "ief"),
+    ("tga", "image/x-tga", "tga"),
+    ("pcx", "image/x-pcx", "pcx"),
+    ("pnm", "image/x-portable-anymap", "pnm"),
+    ("pbm", "image/x-portable-bitmap", "pbm"),
+    ("pgm", "image/x-portable-graymap", "pgm"),
+    ("ppm", "image/x-portable-pixmap", "ppm"),
+    ("xbm", "image/x-xbitmap", "xbm"),
+    ("xpm", "image/x-xpixmap", "xpm"),
+    ("rgb", "image/x-rgb", "rgb"),
+    ("ras", "image/x-cmu-raster", "ras"),
+    ("wmv", "video/x-ms-wmv", "wmv"),
+    ("wm", "video/x-ms-wm", "wm"),
+    ("wmx", "video/x-ms-wmx", "wmx"),
+    ("asf", "video/x-ms-asf", "asf"),
+    ("asx", "video/x-ms-asf", "asf"),
+    ("flv", "video/x-flv", "flv"),
+    ("f4v", "video/x-f4v", "f4v"),
+    ("fli", "video/x-fli", "fli"),
+    ("mng", "video/x-mng", "mng"),
+    ("mk3d", "video/x-matroska", "mkv"),
+    ("mks", "video/x-matroska", "mkv"),
+    ("vob", "video/x-ms-vob", "vob"),
+    ("3g2", "video/3gpp2", "3g2"),
+    ("3gpp", "video/3gpp", "3gp"),
+    ("h261", "video/h261", "h261"),
+    ("h263", "video/h263", "h263"),
+    ("h264", "video/h264", "h264"),
+    ("jpgv", "video/jpeg", "jpgv"),
+    ("mj2", "video/mj2", "mj2"),
+    ("mjp2", "video/mj2", "mj2"),
+    ("ts", "video/mp2t", "ts"),
+    ("m2t", "video/mp2t", "ts"),
+    ("m2ts", "video/mp2t", "ts"),
+    ("mts", "video/mp2t", "ts"),
+    ("mp4v", "video/mp4", "mp4"),
+    ("mpg4", "video/mp4", "mp4"),
+    ("mpe", "video/mpeg", "mpeg"),
+    ("m1v", "video/mpeg", "mpeg"),
+    ("m2v", "video/mpeg", "mpeg"),
+    ("qt", "video/quicktime", "qt"),
+    ("movie", "video/x-sgi-movie", "movie"),
+    ("viv", "video/vnd.vivo", "viv"),
+    ("aif", "audio/x-aiff", "aif"),
+    ("aiff", "audio/x-aiff", "aif"),
+    ("aifc", "audio/x-aiff", "aif"),
+    ("adp", "audio/adpcm", "adp"),
+    ("amr", "audio/amr", "amr"),
+    ("au", "audio/basic", "au"),
+    ("snd", "audio/basic", "au"),
+    ("caf", "audio/x-caf", "caf"),
+    ("dts", "audio/vnd.dts", "dts"),
+    ("kar", "audio/midi", "mid"),
+    ("midi", "audio/midi", "mid"),
+    ("rmi", "audio/midi", "mid"),
+    ("m2a", "audio/mpeg", "mp3"),
+    ("m3a", "audio/mpeg", "mp3"),
+    ("mp2", "audio/mpeg", "mp3"),
+    ("mp2a", "audio/mpeg", "mp3"),
+    ("mpga", "audio/mpeg", "mp3"),
+    ("mp4a", "audio/mp4", "m4a"),
+    ("m3u", "audio/x-mpegurl", "m3u"),
+    ("mka", "audio/x-matroska", "mka"),
+    ("pya", "audio/vnd.ms-playready.media.pya", "pya"),
+    ("ra", "audio/x-realaudio", "ra"),
+    ("ram", "audio/x-pn-realaudio", "ram"),
+    ("s3m", "audio/s3m", "s3m"),
+    ("spx", "audio/ogg", "ogg"),
+    ("wax", "audio/x-ms-wax", "wax"),
+    ("wma", "audio/x-ms-wma", "wma"),
+    ("xm", "audio/xm", "xm"),
 )
 
+# Schemes of the web and the port each has of its own.
+DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
+
+# First letters of the months, and the named zones of mail dates with their hours from UTC.
+MONTHS = tuple("jan feb mar apr may jun jul aug sep oct nov dec".split())
+ZONES = {"utc": 0, "gmt": 0, "ut": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+
 # HTML standard element classes.
 VOID_TAGS = tuple("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = tuple(

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from pageloom.functions import naming, text
-from pageloom.functions.media import canonical_extension, media_type, stable_id
+from pageloom.functions.media import stable_id
+from pageloom.operators.media import typed
 from pageloom.operators.tree import exprs
 
 XHTML = "application/xhtml+xml"
 
 
-def book_records(articles: DataFrame, run_ts: str) -> DataFrame:
+def book_records(articles: DataFrame, run_ts: str, types: DataFrame | None = None) -> DataFrame:
     """Defaults of a book. ``articles``: ``book_id, title, author (array), publisher, published_at, lang,
     excerpt, url, cover``. An unknown cover type leaves ``cover_type`` null; such books are rejected."""
-    return articles.selectExpr(
+    return typed(articles, "cover", types).selectExpr(
         "book_id", "title",
         "if(author is null or size(author) = 0, array('anonymous'), author) as author",
         "coalesce(publisher, 'anonymous') as publisher",
         f"coalesce(published_at, {run_ts}) as published_at",
         "coalesce(lang, 'en') as lang", "excerpt as description", "url as source", "cover",
-        f"{media_type('cover')} as cover_type", f"{canonical_extension('cover')} as cover_extension",
+        "media_type as cover_type", "extension as cover_extension",
     )
 
 

@@ -84,16 +84,20 @@ def legacy_tags(content: DataFrame, allowed: Sequence[str] = ALLOWED_LEGACY_TAGS
     return content.withColumns(dict(zip(("tag",), exprs(mapped))))
 
 
-def localize_media(content: DataFrame, version: int = 3) -> DataFrame:
+def localize_media(content: DataFrame, version: int = 3, references: DataFrame | None = None) -> DataFrame:
     """Point the ``src`` of every media element at its file inside the book.
 
     File ids are hashes of book, kind and address, so the rewrite needs no join with the media table. In version 2 players are no
-    media: a downloaded file that nothing in the book stands for is not pointed at either.
+    media: a downloaded file that nothing in the book stands for is not pointed at either. ``references`` has the extensions of
+    media elements (``book_id, node_id, sub, extension``) where they come from a table of types.
     """
-    kind = reference_kind("tag", version)
-    known = f"a.name = 'src' and {kind} is not null and {canonical_extension('a.value')} is not null"
-    local = local_href("page_id", kind, "a.value")
+    kind, extension = reference_kind("tag", version), canonical_extension("a.value")
+    if references is not None:
+        found = references.selectExpr("book_id as page_id", "node_id", "pos.sub as sub", "extension as found_extension")
+        content, extension = content.join(found, ["page_id", "node_id", "sub"], "left"), "found_extension"
+    known = f"a.name = 'src' and {kind} is not null and {extension} is not null"
+    local = local_href("page_id", kind, "a.value", extension)
     fixed = f"transform(attrs, a -> if({known}, named_struct('name', a.name, 'value', {local}), a))"
     if version == 2:
         fixed = f"filter({fixed}, a -> not (a.name = 'src' and {kind} is null and startswith(a.value, 'file://')))"
-    return content.withColumns(dict(zip(("attrs",), exprs(fixed))))
+    return content.withColumns(dict(zip(("attrs",), exprs(fixed)))).drop("found_extension")

@@ -2,43 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from pageloom.functions import logs
+from pyspark.sql import DataFrame, SparkSession
+
+from pageloom.functions import logs, text
+from pageloom.functions.vocab import FRAME_FORMATS, QUOTE_FORMATS
+from pageloom.operators.lookup import salted_lookup
 from pageloom.operators.tree import exprs
 
 
-def attempts(embeds: DataFrame, wanted: str = "media_format") -> DataFrame:
-    """The formats to try for every embed, in order: one row per attempt with its container."""
-    from pageloom.functions.vocab import FRAME_FORMATS, QUOTE_FORMATS
+def built_in_formats(spark: SparkSession, frames: Sequence[str] = FRAME_FORMATS, quotes: Sequence[str] = QUOTE_FORMATS) -> DataFrame:
+    """The formats that frames and quotes try where nobody asks for others: ``kind, prio, format``."""
+    rows = [(kind, n, f) for kind, formats in (("frame", frames), ("quote", quotes)) for n, f in enumerate(formats)]
+    return spark.sql("select * from values " + ", ".join(f"('{k}', {n}, {text(f)})" for k, n, f in rows) + " as t(kind, prio, format)")
 
-    listed = (
-        f"if(kind = 'frame', {logs.format_list(wanted, FRAME_FORMATS)}, {logs.format_list(wanted, QUOTE_FORMATS)})"
-    )
-    return embeds.selectExpr("*", f"posexplode_outer({listed}) as (attempt, format)").selectExpr(
-        "*", f"{logs.container('format')} as container"
+
+def attempts(embeds: DataFrame, preferences: DataFrame | None = None, spread: str = "page_id") -> DataFrame:
+    """The formats to try for every embed, in order: one row per attempt with its container.
+
+    They are the formats that ``media_format`` lists, in its order, else those of ``preferences`` (``kind, prio, format``) for the
+    embed's kind, in order of ``prio``; by default the built-in lists. A kind without any has no attempts.
+    """
+    if preferences is None:
+        preferences = built_in_formats(embeds.sparkSession)
+    lists = preferences.groupBy("kind").agg(*exprs("array_sort(collect_list(struct(prio, format))).format as preferred"))
+    asked = salted_lookup(embeds, lists, "kind", spread)
+    listed = "coalesce(split(nullif(media_format, ''), '_'), preferred)"
+    return (
+        asked.selectExpr("*", f"posexplode({listed}) as (attempt, format)")
+        .drop("preferred")
+        .selectExpr("*", f"{logs.container('format')} as container")
     )
 
 
 def wish(url: str) -> str:
-    """What a page asks of an address, as one key: the address, the formats asked for and the size asked for."""
-    return f"to_json(struct({url} as url, nullif(media_format, '') as media_format, target_file_size))"
+    """What a page asks of an address, as one key: the address, the formats asked for, else whose list counts, and the size asked for."""
+    formats = "nullif(media_format, '')"
+    return f"to_json(struct({url} as url, if({formats} is null, kind, null) as kind, {formats} as media_format, target_file_size))"
 
 
-def requested_attempts(formats: DataFrame, wishes: DataFrame, cap: str = "null") -> DataFrame:
-    """Attempts of every wish (``wish, media_url, media_format, target_file_size``), to be walked by ``wish``.
+def requested_attempts(formats: DataFrame, wishes: DataFrame, cap: str = "null", preferences: DataFrame | None = None) -> DataFrame:
+    """Attempts of every wish (``wish, kind, media_url, media_format, target_file_size``), to be walked by ``wish``.
 
-    They are the formats that ``media_format`` lists, in its order, else all of the address. ``cap`` becomes the size asked
-    for, else that of the table. A format asked for of which the table says nothing counts as unavailable.
+    ``formats`` says what came of a format of an address (``media_url, format, status, size_mib``); one of which it says nothing
+    is unavailable, and of repeated rows the earliest attempt counts. ``cap`` becomes the size asked for, else that of the table.
     """
-    listed = wishes.selectExpr("*", "posexplode_outer(split(nullif(media_format, ''), '_')) as (place, asked)")
-    known = formats.selectExpr(
-        "media_url as known_url", "attempt as tried", "format", "status", "size_mib", f"cast({cap} as int) as known_cap"
+    # The cap of an address holds for its last format too, also where another one is missing from the table.
+    known = formats.groupBy("media_url", "format").agg(
+        *exprs(f"min(struct(attempt, status, size_mib, cast({cap} as int) as known_cap)) as known")
     )
-    return listed.join(known, F.expr("media_url = known_url and (asked is null or asked = format)"), "left").selectExpr(
-        "wish", "coalesce(place, tried) as attempt", "coalesce(format, asked) as format",
-        "coalesce(status, 'unavailable') as status", "size_mib", "coalesce(target_file_size, known_cap) as cap",
+    rows = attempts(wishes, preferences, "wish").join(known, ["media_url", "format"], "left")
+    return rows.selectExpr(
+        "wish", "attempt", "format", "coalesce(known.status, 'unavailable') as status", "known.size_mib as size_mib",
+        "coalesce(target_file_size, known.known_cap) as cap",
     )
 
 

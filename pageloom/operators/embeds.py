@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from pageloom.functions import one_of, text
 from pageloom.functions.markup import ATTRS_TYPE, NO_ATTRS, attr, attrs_of, escape_text, open_tag
-from pageloom.functions.media import download_path
+from pageloom.functions.media import MEDIA_FOLDER, download_path
 from pageloom.functions.logs import media_kind
 from pageloom.functions.urls import short_host
 from pageloom.functions.vocab import NO_MEDIA_TEXT, QUOTE_HOSTS, VIDEO_HOSTS, VOID_TAGS
@@ -16,7 +16,6 @@ from pageloom.operators.lookup import salted_lookup
 from pageloom.operators.repair import inside, node_order
 from pageloom.operators.tree import BEFORE, UPTO, exprs, last, piece, render_parts
 
-MEDIA_FOLDER = "media"
 #: Rows to be put in: their columns, with whether they follow their target. A row of the page reaches beyond all of its last position.
 PUT_IN_COLUMNS = ("sub", "sub_end", "kind", "tag", "tok", "attrs", "parent_tag")
 PUT_IN_TYPE = f"struct<sub:int,sub_end:int,kind:string,tag:string,tok:string,attrs:{ATTRS_TYPE},parent_tag:string,follows:boolean>"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from pageloom.functions import one_of
 from pageloom.functions.markup import attr, unescape
-from pageloom.functions.urls import absolute_url
+from pageloom.functions.urls import address, resolved
 from pageloom.operators.repair import node_order
 from pageloom.operators.tree import BEFORE, UPTO, assemble, exprs, last, piece
 
@@ -118,13 +118,13 @@ def resolve_links(content: DataFrame, urls: DataFrame) -> DataFrame:
     )
     one = (
         f"if(({linked}) and a.value is not null,"
-        f" named_struct('name', a.name, 'value', {absolute_url('url', 'a.value')}), a)"
+        f" named_struct('name', a.name, 'value', {resolved('page', 'a.value')}), a)"
     )
     fix = f"if(exists(attrs, a -> {linked}), transform(attrs, a -> {one}), attrs)"
     return (
-        content.join(urls, "page_id")
+        content.join(urls.selectExpr("page_id", f"{address('url')} as page"), "page_id")
         .withColumns(dict(zip(("attrs",), exprs(fix))))
-        .drop("url")
+        .drop("page")
     )
 
 

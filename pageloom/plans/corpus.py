@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.functions import naming
 from pageloom.functions.urls import short_host
-from pageloom.functions.vocab import ALLOWED_ATTRIBUTES, PICTURE_TYPES
+from pageloom.functions.vocab import ALLOWED_ATTRIBUTES, ALLOWED_LEGACY_TAGS, PICTURE_TYPES, QUOTE_HOSTS, VIDEO_HOSTS
 from pageloom.operators import book, clean, downloads, embeds, extract, media, repair
 from pageloom.operators.lookup import latest_per_key
 from pageloom.operators.tokens import tokens
@@ -29,8 +29,12 @@ class Corpus:
     ``rewrites`` are functions over the cleaned content rows, run in order. ``keep_attribute`` is a SQL condition on
     ``a.name``, ``a.value`` and ``tag`` that exempts attributes from the sanitizer.
 
-    Downloads are walked by what each page asks for: its ``media_format`` and its ``target_file_size``. Without
-    ``by_request`` all pages share one walk of all formats of an address.
+    Downloads are walked by what each page asks for: its ``media_format``, else the list of ``preferences`` for the kind of embed
+    (``kind, prio, format``; built-in lists by default), and its ``target_file_size``. Without ``by_request`` all pages share one
+    walk of all formats of an address.
+
+    ``types`` is a table of media types (``ext, media_type, canonical_ext``) in place of the shipped one; ``video_hosts`` and
+    ``quote_hosts`` are the short hosts whose frames and quotes may be downloads; ``legacy`` are the tags of version 2.
 
     ``meta`` may supply ``page_id, published_time, byline, site_name`` that override what pages say.
     """
@@ -54,6 +58,11 @@ class Corpus:
         clustered: bool = False,
         partitions: int | None = None,
         by_request: bool = True,
+        types: DataFrame | None = None,
+        preferences: DataFrame | None = None,
+        video_hosts: Sequence[str] = VIDEO_HOSTS,
+        quote_hosts: Sequence[str] = QUOTE_HOSTS,
+        legacy: Sequence[str] = ALLOWED_LEGACY_TAGS,
     ) -> None:
         self.spark = tune(spark)
         self.pages = pages
@@ -63,6 +72,8 @@ class Corpus:
         self.picture_types, self.allowed_attributes = picture_types, allowed_attributes
         self.keep_attribute, self.rewrites = keep_attribute, rewrites
         self.clustered, self.by_request = clustered, by_request
+        self.types, self.preferences, self.legacy = types, preferences, legacy
+        self.video_hosts, self.quote_hosts = video_hosts, quote_hosts
         self.partitions = partitions or partitions_for(pages.select("page_id", "html"))
         self.stages = Stages(self.spark, self.partitions)
 
@@ -115,12 +126,12 @@ class Corpus:
         if not self.by_request:
             return downloads.walk_attempts(self.formats, cap)
         wishes = self.found.filter("download_media and host is not null")
-        wishes = wishes.selectExpr("wish", "url as media_url", "media_format", "target_file_size").dropDuplicates(["wish"])
-        return downloads.walk_attempts(downloads.requested_attempts(self.formats, wishes, cap), "cap", "wish")
+        wishes = wishes.selectExpr("wish", "kind", "url as media_url", "media_format", "target_file_size").dropDuplicates(["wish"])
+        return downloads.walk_attempts(downloads.requested_attempts(self.formats, wishes, cap, self.preferences), "cap", "wish")
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return self.stages.keep(embeds.embed_outcomes(self.found, self.chosen), "outcomes")
+        return self.stages.keep(embeds.embed_outcomes(self.found, self.chosen, self.video_hosts, self.quote_hosts), "outcomes")
 
     @cached_property
     def embedded(self) -> DataFrame:
@@ -133,11 +144,12 @@ class Corpus:
         rows = clean.clean_attributes(self.embedded, self.allowed_attributes, self.keep_attribute)
         for rewrite in self.rewrites:
             rows = rows.transform(rewrite)
-        return self.stages.keep(clean.legacy_tags(rows) if self.version == 2 else rows, "cleaned")
+        return self.stages.keep(clean.legacy_tags(rows, self.legacy) if self.version == 2 else rows, "cleaned")
 
     @cached_property
     def html(self) -> DataFrame:
-        rows = clean.localize_media(self.cleaned, self.version)
+        known = media.typed(self.references, "url", self.types) if self.types is not None else None
+        rows = clean.localize_media(self.cleaned, self.version, known)
         return assemble(rows, ["page_id"], embeds.content_parts(), "content_html")
 
     @cached_property
@@ -169,18 +181,17 @@ class Corpus:
             .join(self.html, "page_id", "left")
             .join(failed, "page_id", "left")
         )
-        rows = rows.selectExpr(
+        rows = media.typed(rows, "cover", self.types, "page_id").withColumnRenamed("extension", "cover_extension").drop("media_type")
+        rows = rows.selectExpr("*", f"{short_host('url')} as host").selectExpr(
             "*",
-            f"{naming.site_name('site_name', 'url')} as site",
-            f"{short_host('url')} as host",
+            "coalesce(nullif(site_name, ''), host) as site",
             f"{naming.published_at('published_time', self.run_ts)} as published_at",
         )
-        known_cover = book.canonical_extension("cover")
         reason = (
             "case when coalesce(url, '') = '' then 'scan: no url' when host is null then 'scan: invalid url'"
             " when coalesce(text_content, content_html) is null then 'extract: no article'"
             " when failed then 'embed: download failed' when coalesce(title, '') = '' then 'create: no title'"
-            f" when cover is not null and {known_cover} is null then 'book: unknown cover type'"
+            " when cover is not null and cover_extension is null then 'book: unknown cover type'"
             " when published_at is null then 'create: invalid date' end"
         )
         return self.stages.keep(rows.selectExpr("*", f"{reason} as verdict"), "judged")
@@ -215,12 +226,12 @@ class Corpus:
             "page_id as book_id", "title", "array(author) as author", "publisher", "published_at", "lang", "excerpt",
             "url", "cover",
         )
-        return book.book_records(rows, self.run_ts)
+        return book.book_records(rows, self.run_ts, self.types)
 
     @cached_property
     def media(self) -> DataFrame:
         """Media of the accepted pages."""
-        found = media.media_table(self.references, self.books.select("book_id", "cover"))
+        found = media.media_table(self.references, self.books.select("book_id", "cover"), self.types)
         accepted = found.join(self.books.select("book_id"), "book_id", "left_semi")
         return self.stages.keep(accepted, "media", "book_id")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pageloom.functions.vocab import FRAME_FORMATS, QUOTE_FORMATS
+
 RUN_TS = "2025-01-06 00:00:00"
 CAP_MIB = 100
 LAST_ATTEMPT = 2
@@ -109,17 +111,104 @@ select user_id as download_id, cast(event_id % 3 as int) as attempt, ts,
 from events
 """
 
+# Outcomes of formats: the built-in ones of the embed of a page, those that requests name, and three of addresses without an embed.
+_FORMAT = "case page_id % 10 " + " ".join(
+    f"when {k} then case a " + " ".join(f"when {a} then '{f}'" for a, f in enumerate((*listed, "best", "bestaudio"))) + " end"
+    for k, listed in ((7, FRAME_FORMATS), (8, QUOTE_FORMATS))
+) + " else case a when 0 then 'worstvideo+bestaudio' when 1 then 'best' when 2 then 'bestaudio' end end"
 FORMATS = f"""
-select case page_id % 10 when 7 then 'https://www.youtube.com/embed/' when 8 then 'https://twitter.com/u/status/'
+select * from (select case page_id % 10 when 7 then 'https://www.youtube.com/embed/' when 8 then 'https://twitter.com/u/status/'
     else 'https://v.example.com/' end || cast(page_id as string) as media_url,
-  cast(a as int) as attempt,
-  case a when 0 then 'worstvideo+bestaudio' when 1 then 'best' else 'bestaudio' end as format,
+  cast(a as int) as attempt, {_FORMAT} as format,
   case when (page_id + a) % 4 = 0 then 'unavailable' when (page_id + 2 * a) % 11 = 0 then 'error' else 'ok' end as status,
   cast((page_id * 13 + a * 7) % 200 as int) as size_mib, {CAP_MIB} as cap
-from (select page_id, {{unnest}}(sequence3) as a from (select page_id, {{list}} as sequence3 from pages) s) t
+from (select page_id, {{unnest}}(sequence5) as a from (select page_id, {{list}} as sequence5 from pages) s) t) f where format is not null
 """
-FORMATS_SPARK = FORMATS.format(unnest="explode", list="array(0, 1, 2)")
-FORMATS_ORACLE = FORMATS.format(unnest="unnest", list="[0, 1, 2]")
+FORMATS_SPARK = FORMATS.format(unnest="explode", list="array(0, 1, 2, 3, 4)")
+FORMATS_ORACLE = FORMATS.format(unnest="unnest", list="[0, 1, 2, 3, 4]")
+
+# Addresses made from the host of a page and its number, with their parts: address, scheme, host, path, query, fragment.
+_H, _N = "regexp_extract(url, '://([^/?#]+)', 1)", "cast(page_id as string)"
+ADDRESSES = (
+    ("url", "regexp_extract(url, '^([a-z]+)', 1)", _H, "regexp_extract(url, '://[^/?#]+([^?#]*)', 1)", "regexp_extract(url, '^[^?#]*([?][^#]*)', 1)", "regexp_extract(url, '(#.*)$', 1)"),
+    (f"'HTTPS://User:pw@' || upper({_H}) || ':443/a/' || {_N} || '?q#f'", "'https'", _H, f"'/a/' || {_N}", "'?q'", "'#f'"),
+    (f"'http://' || {_H} || ':8080/'", "'http'", f"{_H} || ':8080'", "'/'", "''", "''"),
+    (f"'http:' || {_H} || '/x'", "'http'", _H, "'/x'", "''", "''"),
+    (f"'https:///' || {_H}", "'https'", _H, "''", "''", "''"),
+    (f"' https://' || {_H} || '/a b '", "'https'", _H, "'/a b'", "''", "''"),
+    (f"'file:///a/' || {_N} || '.html'", "'file'", "''", f"'/a/' || {_N} || '.html'", "''", "''"),
+    (f"'file://' || {_H} || '/a'", "'file'", _H, "'/a'", "''", "''"),
+    (f"'skype:' || {_N} || '?call'", "'skype'", "''", _N, "'?call'", "''"),
+    (f"'whatsapp:hello' || {_N}", "'whatsapp'", "''", f"'hello' || {_N}", "''", "''"),
+    (f"'callto:' || {_N}", "'callto'", "''", _N, "''", "''"),
+    (f"'mailto:a@' || {_H}", "'mailto'", "''", f"'a@' || {_H}", "''", "''"),
+    (f"'data:text/plain,' || {_N}", "'data'", "''", f"'text/plain,' || {_N}", "''", "''"),
+    (f"'javascript:f(' || {_N} || ')'", "'javascript'", "''", f"'f(' || {_N} || ')'", "''", "''"),
+    (f"'foo://Bar' || {_N} || ':9/x?y'", "'foo'", f"'Bar' || {_N} || ':9'", "'/x'", "'?y'", "''"),
+    (f"'wss://' || {_H} || ':443'", "'wss'", _H, "''", "''", "''"),
+    (f"'ftp://' || {_H} || ':2121/p/../q'", "'ftp'", f"{_H} || ':2121'", "'/p/../q'", "''", "''"),
+    (f"'https://' || {_H} || ':99999/'", None, None, None, None, None),
+    (f"'http://' || {_N} || ' ' || {_H}", None, None, None, None, None),
+    (f"'//' || {_H} || '/a'", None, None, None, None, None),
+    (f"'page ' || {_N}", None, None, None, None, None),
+)
+PAGE_ADDRESSES = (
+    f"select page_id, case page_id % {len(ADDRESSES)} " + " ".join(f"when {k} then {a[0]}" for k, a in enumerate(ADDRESSES)) + " end as address from pages"
+)
+
+# Times of events written in the forms that pages use, and the time each stands for (SQL of the oracle; null: cannot be read).
+_Y, _M, _D = "cast(year(ts) as string)", "cast(month(ts) as string)", "cast(day(ts) as string)"
+_two = lambda x: f"lpad(cast({x}(ts) as string), 2, '0')"
+_MM, _DD, _HH, _MI, _SS = (_two(x) for x in ("month", "day", "hour", "minute", "second"))
+_MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(month(ts) * 3 - 2 as int), 3)"
+_MONTH = "trim(substr('January  February March    April    May      June     July     August   SeptemberOctober  November December', cast(month(ts) * 9 - 8 as int), 9))"
+_H12, _AP = "cast((hour(ts) + 11) % 12 + 1 as string)", "case when hour(ts) < 12 then 'AM' else 'PM' end"
+_HMS = f"{_HH} || ':' || {_MI} || ':' || {_SS}"
+_DAY, _MINUTE, _SECOND = (f"date_trunc('{x}', ts)" for x in ("day", "minute", "second"))
+DATES = (
+    (f"{_Y} || '-' || {_MM} || '-' || {_DD}", _DAY),
+    (f"{_Y} || '/' || {_MM} || '/' || {_DD}", _DAY),
+    (f"{_Y} || '.' || {_M} || '.' || {_D}", _DAY),
+    (f"{_Y} || '-' || {_MM}", "date_trunc('month', ts)"),
+    (f"{_M} || '/' || {_D} || '/' || {_Y}", _DAY),
+    (f"{_MM} || '-' || {_DD} || '-' || right({_Y}, 2)", _DAY),
+    (f"{_Y} || '-' || {_MM} || '-' || {_DD} || 'T' || {_HMS} || 'Z'", _SECOND),
+    (f"{_Y} || '-' || {_MM} || '-' || {_DD} || 'T' || {_HMS} || '.250+02:00'", f"{_SECOND} - interval 2 hour"),
+    (f"{_Y} || '-' || {_MM} || '-' || {_DD} || ' ' || {_HMS} || ' -0530'", f"{_SECOND} + interval 330 minute"),
+    (f"{_Y} || '-' || {_MM} || '-' || {_DD} || 'T' || {_HH} || ':' || {_MI}", _MINUTE),
+    (f"'Mon, ' || {_DD} || ' ' || {_MON} || ' ' || {_Y} || ' ' || {_HMS} || ' GMT'", _SECOND),
+    (f"{_D} || ' ' || {_MON} || ' ' || {_Y} || ' ' || {_HMS} || ' +0100'", f"{_SECOND} - interval 1 hour"),
+    (f"{_D} || ' ' || {_MONTH} || ' ' || {_Y}", _DAY),
+    (f"{_MONTH} || ' ' || {_D} || ', ' || {_Y}", _DAY),
+    (f"{_MON} || '. ' || {_D} || ', ' || {_Y} || ' ' || {_H12} || ':' || {_MI} || ' ' || {_AP}", _MINUTE),
+    (f"'Monday, ' || {_MONTH} || ' ' || {_D} || ', ' || {_Y} || ' at ' || {_H12} || ':' || {_MI} || ' ' || {_AP} || ' EST'", f"{_MINUTE} + interval 5 hour"),
+    (f"'Mon ' || {_MON} || ' ' || {_DD} || ' ' || {_Y} || ' ' || {_HMS} || ' GMT+0100 (CET)'", f"{_SECOND} - interval 1 hour"),
+    (f"{_DD} || '-' || {_MON} || '-' || {_Y}", _DAY),
+    (f"upper({_D} || ' ' || {_MONTH} || ' ' || {_Y} || ' ' || {_HH} || ':' || {_MI} || ' pdt')", f"{_MINUTE} + interval 7 hour"),
+    (f"'  ' || {_MONTH} || ' ' || {_D} || ' ' || {_Y} || ' '", _DAY),
+    (f"{_M} || '/' || {_D} || '/' || {_Y} || ', ' || {_H12} || ':' || {_MI} || ':' || {_SS} || ' ' || {_AP}", _SECOND),
+    ("''", f"timestamp '{RUN_TS}'"),
+    (f"{_Y} || '-' || {_MM} || '-32'", None),
+    (f"'on ' || {_D}", None),
+    (f"{_MONTH} || ' ' || {_D} || ', ' || {_Y} || ' 13:00 PM'", None),
+)
+EVENT_DATES = f"select event_id, case event_id % {len(DATES)} " + " ".join(f"when {k} then {d[0]}" for k, d in enumerate(DATES)) + " end as given from events"
+
+# Media endings with their type and the extension a file gets; null: unknown.
+ENDINGS = (
+    ("png", "image/png", "png"), ("JPG", "image/jpeg", "jpeg"), ("jpeg?w=1", "image/jpeg", "jpeg"), ("jxl", "image/jxl", "jxl"),
+    ("heic", "image/heic", "heic"), ("heif", "image/heif", "heif"), ("jp2", "image/jp2", "jp2"), ("avif", "image/avif", "avif"),
+    ("svgz", "image/svg+xml", "svg"), ("tiff", "image/tiff", "tif"), ("ico", "image/vnd.microsoft.icon", "ico"), ("wmv", "video/x-ms-wmv", "wmv"),
+    ("flv?a=b.mp4", "video/x-flv", "flv"), ("mov", "video/quicktime", "qt"), ("m2ts", "video/mp2t", "ts"), ("3gp", "video/3gpp", "3gp"),
+    ("get?file=b.webm", "video/webm", "webm"), ("aiff", "audio/x-aiff", "aif"), ("wma", "audio/x-ms-wma", "wma"), ("opus", "audio/ogg", "ogg"),
+    ("mp2", "audio/mpeg", "mp3"), ("amr", "audio/amr", "amr"), ("odd", None, None), ("png/", None, None), ("png#x", None, None),
+)
+MEDIA_ADDRESSES = (
+    f"select page_id, 'https://m.example/' || cast(page_id as string) || '.' || case page_id % {len(ENDINGS)} "
+    + " ".join(f"when {k} then '{e[0]}'" for k, e in enumerate(ENDINGS)) + " end as url from pages"
+)
+#: A caller's own table of types.
+OWN_TYPES = "select * from values ('png', 'image/x-own', 'own'), ('ODD', 'image/x-odd', 'odd'), ('jpg', 'image/jpeg', 'jpg') as t(ext, media_type, canonical_ext)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

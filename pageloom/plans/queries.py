@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.functions import naming, one_of
 from pageloom.functions.markup import attr, unescape
 from pageloom.functions.srcset import best_candidate
-from pageloom.functions.urls import absolute_url, short_host
+from pageloom.functions.urls import absolute_url, address, short_host, short_name
 from pageloom.functions.vocab import SAFE_TAGS
 from pageloom.operators import book, clean, downloads, embeds, extract, media, repair, rollup
 from pageloom.operators.lookup import latest_per_key
@@ -45,7 +45,6 @@ def _corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
                 spark, inputs.derive(spark, sf_dir, inputs.PAGES_RICH), inputs.RUN_TS,
                 requests=inputs.derive(spark, sf_dir, inputs.REQUESTS),
                 formats=inputs.derive(spark, sf_dir, inputs.FORMATS_SPARK),
-                by_request=False,  # The statements walk all formats of an address for every page.
             )
         elif kind == "hostile":
             made = Corpus(spark, inputs.derive(spark, sf_dir, inputs.PAGES_HOSTILE), inputs.RUN_TS)
@@ -93,6 +92,28 @@ def latest_article_per_path(spark, sf_dir):
     return _paths(spark, sf_dir).filter("is_latest").selectExpr("output_path", "page_id", "url", f"{naming.date_text('published_at')} as published")
 
 
+@query
+def address_parts(spark, sf_dir):
+    """Scheme, host, path, query and fragment of addresses of all kinds; none where a text is no address."""
+    rows = inputs.derive(spark, sf_dir, inputs.PAGE_ADDRESSES).selectExpr("*", f"{address('address')} as a")
+    return rows.selectExpr("page_id", "address", "a.scheme", "a.host", f"{short_name('a.host')} as short", "a.path", "a.query", "a.fragment")
+
+
+@query
+def published_times(spark, sf_dir):
+    """Publishing times written in many forms, read and shown in UTC."""
+    rows = inputs.derive(spark, sf_dir, inputs.EVENT_DATES)
+    return rows.selectExpr("event_id", "given", f"date_format({naming.published_at('given', RUN)}, 'yyyy-MM-dd HH:mm:ss') as published")
+
+
+@query
+def media_types(spark, sf_dir):
+    """Type and extension of media addresses, by the shipped list and by a caller's table."""
+    rows = media.typed(inputs.derive(spark, sf_dir, inputs.MEDIA_ADDRESSES), "url")
+    own = media.typed(rows.withColumnsRenamed({"media_type": "shipped_type", "extension": "shipped_extension"}), "url", spark.sql(inputs.OWN_TYPES), "page_id")
+    return own.selectExpr("page_id", "url", "shipped_type", "shipped_extension", "media_type as own_type", "extension as own_extension")
+
+
 @query
 def page_tokens(spark, sf_dir):
     return tokens(inputs.table(spark, sf_dir, "pages")).select("page_id", "pos", "kind", "tag", "tok")
@@ -321,6 +342,17 @@ def log_size_peaks(spark, sf_dir):
 
 @query
 def format_fallback(spark, sf_dir):
+    """What comes of each thing that pages ask of an address: the formats named, or those built in for its kind, in order."""
+    corpus = _corpus(spark, sf_dir, "rich")
+    asked = corpus.found.filter("download_media and host is not null").select("wish", "kind", "url", "media_format", "target_file_size")
+    return corpus.chosen.join(asked.dropDuplicates(["wish"]), "wish").select(
+        "kind", "url", "media_format", "target_file_size", "outcome", "attempt", "format", "container", "size_mib"
+    )
+
+
+@query
+def address_walk(spark, sf_dir):
+    """The same over all formats of an address, whatever is asked."""
     return downloads.walk_attempts(inputs.derive(spark, sf_dir, inputs.FORMATS_SPARK), "cap")
 
 
@@ -329,7 +361,7 @@ def download_attempts(spark, sf_dir):
     """Formats each embed would try, in order."""
     corpus = _corpus(spark, sf_dir, "rich")
     rows = corpus.outcomes.join(corpus.options.select("page_id", "media_format"), "page_id")
-    return downloads.attempts(rows).select("page_id", "kind", "url", "attempt", "format", "container")
+    return downloads.attempts(rows, corpus.preferences).select("page_id", "kind", "url", "attempt", "format", "container")
 
 
 @query

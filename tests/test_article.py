@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions.markup import attr
+from pageloom.functions.vocab import FRAME_FORMATS, QUOTE_FORMATS
 from pageloom.operators import book, clean, downloads, extract, media
 from pageloom.operators.lookup import latest_per_key, salted_lookup
 from pageloom.operators.tokens import attributes, tokens
@@ -39,6 +40,11 @@ HEADS = {
 }
 
 
+def two_formats(spark):
+    rows = [(k, n, f) for k in ("frame", "quote") for n, f in enumerate(("best", "bestaudio"))]
+    return spark.createDataFrame(rows, "kind string, prio int, format string")
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, pages):
     rows = pages(*[page(b, HEADS.get(i, "<title>T</title>")) for i, b in enumerate(BODIES)])
@@ -46,15 +52,15 @@ def corpus(spark, pages):
         [
             ("https://www.youtube.com/embed/1", 0, "best", "ok", 500, 100),
             ("https://www.youtube.com/embed/1", 1, "bestaudio", "ok", 5, 100),
-            ("https://www.youtube.com/embed/2", 0, "bestaudio", "unavailable", 0, 100),
-            ("https://www.youtube.com/embed/2", 1, "best", "ok", 500, 100),
+            ("https://www.youtube.com/embed/2", 0, "bestaudio", "ok", 5, 100),
+            ("https://www.youtube.com/embed/2", 1, "best", "ok", 50, 100),
             ("https://www.youtube.com/embed/bad", 0, "best", "error", 0, 100),
             ("https://twitter.com/s/1", 0, "best", "ok", 1, 100),
             ("https://www.x.com/s/1", 0, "best", "error", 1, 100),
         ],
         "media_url string, attempt int, format string, status string, size_mib int, cap int",
     )
-    made = Corpus(spark, rows, RUN_TS, formats=formats, defaults={"download_media": "true"})
+    made = Corpus(spark, rows, RUN_TS, formats=formats, defaults={"download_media": "true"}, preferences=two_formats(spark))
     yield made
     made.release()
 
@@ -76,7 +82,7 @@ def test_pages_get_what_they_ask_for(spark, pages):
         [(film, 0, "best", "ok", 500), (film, 1, "bestaudio", "ok", 5)],
         "media_url string, attempt int, format string, status string, size_mib int",
     )
-    made = Corpus(spark, rows, RUN_TS, requests=requests, formats=formats)
+    made = Corpus(spark, rows, RUN_TS, requests=requests, formats=formats, preferences=two_formats(spark))
     got = [(r.action, (r.media_path or "")[-4:]) for r in made.outcomes.orderBy("page_id").collect()]
     made.release()
     assert got == [("media", ".mp4"), ("media", ".m4a"), ("media", ".m4a"), ("media", ".mp4"), ("media", ".mp4"), ("reject", "")]
@@ -214,6 +220,98 @@ def test_legacy_version(spark, pages):
     made.release()
 
 
+def test_built_in_formats_are_walked_by_kind(spark, pages):
+    film, post = "https://youtu.be/1", "https://x.com/s/1"
+    body = f"<article>{FILLER}<div><iframe src='{film}'></iframe>t</div><blockquote><p>q</p><p><a href='{post}'>u</a></p></blockquote></article>"
+    formats = [(film, 0, FRAME_FORMATS[0], "unavailable", 0), (film, 1, "best", "ok", 1), (film, 2, FRAME_FORMATS[2], "ok", 9)]
+    formats += [(post, 0, QUOTE_FORMATS[2], "ok", 900), (post, 1, FRAME_FORMATS[0], "error", 1)]
+    made = Corpus(
+        spark, pages(page(body)), RUN_TS, defaults={"download_media": "true", "target_file_size": "5"},
+        formats=spark.createDataFrame(formats, "media_url string, attempt int, format string, status string, size_mib int"),
+    )
+    got = {r.url: (r.action, (r.media_path or "")[-4:]) for r in made.outcomes.collect()}
+    made.release()
+    # The last format of a list has no cap; formats that are on no list are not tried.
+    assert got == {film: ("media", ".mp4"), post: ("media", ".m4a")}
+
+
+def test_any_address_is_an_address(spark, pages):
+    frames = "".join(f"<div>t<iframe src='{u}'></iframe></div>" for u in ("file:///a/b.html", "skype:echo123?call", "callto:1"))
+    quote = "<blockquote><p>q</p><p><a href='whatsapp:hello'>u</a></p></blockquote>"
+    head = "<title>T</title><meta property='article:published_time' content='2025/01/06'>"
+    rows = pages(page(f"<article>{FILLER}{frames}{quote}</article>", head))
+    requests = rows.selectExpr(
+        "url", "true as download_media", "cast(null as string) as media_format", "cast(null as int) as target_file_size",
+        "cast(null as string) as output", "cast(null as string) as path", "false as create_subfolders", "'https://a.org/c.heic' as cover",
+    )
+    made = Corpus(spark, rows, RUN_TS, requests=requests)
+    assert made.rejects.count() == 0
+    html, article = made.html.first().content_html, made.articles.first()
+    cover = made.manifest.filter("id = 'image_cover'").first()
+    made.release()
+    # Links that the sanitizer does not know stay without their address.
+    assert html.count("<p><a>Visit .</a></p>") == 2 and '<a href="callto:1">Visit .</a>' in html
+    assert str(article.published_at) == "2025-01-06 00:00:00" and cover.media_type == "image/heic"
+
+
+def test_embeds_are_rows(spark, pages):
+    tweet = "<blockquote><p><video src='https://a.org/in.mp4'></video>q</p><p>by <a href='https://x.com/s/1'>u</a></p></blockquote>"
+    body = f"<article>{FILLER}{tweet}<div>a<iframe src='https://youtu.be/2'></iframe></div><div>b<iframe src='https://maps.org/3'></iframe></div></article>"
+    formats = spark.createDataFrame(
+        [("https://x.com/s/1", 0, "best", "ok", 1), ("https://youtu.be/2", 0, "best", "ok", 1)],
+        "media_url string, attempt int, format string, status string, size_mib int",
+    )
+    seen = []
+
+    def plugin(rows):
+        seen.append(sorted((r.tag, r.sub) for r in rows.filter("sub > 0 and kind = 'element'").select("tag", "sub").collect()))
+        return rows.withColumn("attrs", F.expr("filter(attrs, a -> a.name != 'controls')"))
+
+    options = dict(formats=formats, defaults={"download_media": "true"}, preferences=two_formats(spark), rewrites=[plugin])
+    for version in (3, 2):
+        made = Corpus(spark, pages(page(body)), RUN_TS, version=version, **options)
+        html = made.html.first().content_html
+        files = [(r.media_no, r.url[-6:] if r.url.startswith("https") else r.transfer) for r in made.media.orderBy("media_no").collect()]
+        hrefs = [r.local_href for r in made.media.collect()]
+        made.release()
+        assert seen.pop() == [("a", 2), ("a", 6), ("figcaption", 5), ("figure", 1), ("p", 1), ("p", 1), ("video", 2), ("video", 2)]
+        assert "controls" not in html
+        assert "</blockquote><p><" in html and "<iframe" not in html
+        if version == 3:
+            # The player after the quote comes after the video inside it.
+            assert files == [(0, "in.mp4"), (1, "moved"), (2, "moved")] and all(h in html for h in hrefs)
+        else:
+            assert files == [] and "<video" not in html and "<figure" not in html and "file://" not in html
+            assert '<div><div>There is video content' in html
+
+
+def test_a_link_inside_an_unclosed_quote_keeps_its_player(spark, pages):
+    body = f"<article>{FILLER}<section><blockquote><p>by <a href='https://x.com/s/1'>u</a>"
+    formats = spark.createDataFrame([("https://x.com/s/1", 0, "best", "ok", 1)], "media_url string, attempt int, format string, status string, size_mib int")
+    made = Corpus(spark, pages(f"<html><body>{body}"), RUN_TS, formats=formats, defaults={"download_media": "true"}, preferences=two_formats(spark))
+    html = made.html.first().content_html
+    made.release()
+    assert "</a></p></blockquote><p><video" in html and html.endswith("</video></p></section>")
+
+
+def test_a_table_of_types_counts_everywhere(spark, pages):
+    body = f"<article>{FILLER}<img src='a.odd'><img src='b.jpg'><img src='c.png?x=1'></article>"
+    types = spark.createDataFrame([("odd", "image/x-odd", "odd"), ("PNG", "image/png", "png"), ("cov", "image/x-cov", "cov")], "ext string, media_type string, canonical_ext string")
+    rows = pages(page(body))
+    requests = rows.selectExpr(
+        "url", "false as download_media", "cast(null as string) as media_format", "cast(null as int) as target_file_size",
+        "cast(null as string) as output", "cast(null as string) as path", "false as create_subfolders", "'c.cov' as cover",
+    )
+    made = Corpus(spark, rows, RUN_TS, requests=requests, types=types)
+    html = made.html.first().content_html
+    files = {(r.media_type, r.extension) for r in made.media.collect()}
+    hrefs = [r.local_href for r in made.media.collect()]
+    cover = made.manifest.filter("id = 'image_cover'").first()
+    made.release()
+    assert files == {("image/x-odd", "odd"), ("image/png", "png")} and all(h in html for h in hrefs)
+    assert 'src="https://www.site.example/dir/b.jpg"' in html and (cover.href, cover.media_type) == ("cover.cov", "image/x-cov")
+
+
 @pytest.mark.parametrize(
     "rows, cap, wanted",
     [

@@ -147,8 +147,6 @@ def test_size(value, text, wanted):
 def test_containers(value):
     for fmt, ending in (("worstvideo+bestaudio", ".mp4"), ("best", ".mp4"), ("bestaudio", ".m4a"), ("best[x]", ".mp4"), ("wv*", ".mp4")):
         assert value(logs.container("f"), f=fmt) == ending
-    assert value(f"array_join({logs.format_list('f', ('a', 'b'))}, ' ')", f="x_y") == "x y"
-    assert value(f"array_join({logs.format_list('f', ('a', 'b'))}, ' ')", f=None) == "a b"
     assert value(logs.error_class("m"), m="x Requested format is not available. y") == "unavailable"
     assert value(logs.error_class("m"), m="boom") == "error"
 
