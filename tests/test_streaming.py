@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 
 from pageloom.operators import downloads
@@ -54,30 +56,105 @@ def test_progress_stream_equals_batch(spark, log_folder, tmp_path):
     assert len(batch) > 5 and sorted(map(str, batch)) == sorted(map(str, stream))
 
 
-def test_oversize_latch_equals_batch(spark, log_folder, formats, tmp_path):
-    latch = live.oversize_latch(read_media_log(spark.readStream, log_folder), formats, CAP)
-    rows = {(r.download_id, r.attempt) for r in run(latch, tmp_path, "latch").collect()}
-    batch = downloads.oversize_breaches(read_media_log(spark.read, log_folder), CAP, LAST).collect()
-    assert rows == {(r.download_id, r.attempt) for r in batch} == {(1, 0)}
-
-
-def test_attempt_state(spark, log_folder, formats, tmp_path):
+@pytest.fixture
+def rocks(spark):
     before = spark.conf.get(live.STATE_STORE, None)
     spark.conf.set(live.STATE_STORE, live.ROCKSDB)
-    try:
-        status = live.attempt_status(read_media_log(spark.readStream.option("maxFilesPerTrigger", 1), log_folder), formats, CAP)
-        rows = [tuple(r) for r in run(status, tmp_path, "attempts").collect()]
-    finally:
-        if before:
-            spark.conf.set(live.STATE_STORE, before)
-        else:
-            spark.conf.unset(live.STATE_STORE)
+    yield
+    if before:
+        spark.conf.set(live.STATE_STORE, before)
+    else:
+        spark.conf.unset(live.STATE_STORE)
+
+
+def test_oversize_latch_equals_batch(spark, rocks, log_folder, formats, tmp_path):
+    latch = live.oversize_latch(read_media_log(spark.readStream.option("maxFilesPerTrigger", 1), log_folder), formats, CAP)
+    rows = {(r.download_id, r.attempt, str(r.ts)) for r in run(latch, tmp_path, "latch").collect()}
+    batch = downloads.oversize_breaches(read_media_log(spark.read, log_folder), CAP, LAST).collect()
+    assert {r[:2] for r in rows} == {(r.download_id, r.attempt) for r in batch} == {(1, 0)}
+    assert rows <= {(1, 0, "2024-01-01 00:00:00"), (1, 0, "2024-01-01 00:00:01")}
+
+
+class Feed:
+    """A log folder that grows by one file for each run of a query with one checkpoint."""
+
+    def __init__(self, spark, folder, make, name):
+        self.spark, self.folder, self.make, self.name, self.files = spark, folder, make, name, 0
+        (folder / "log").mkdir()
+
+    def __call__(self, *lines):
+        """Rows that come of more lines (download, attempt, minute, text), and the state rows that stay."""
+        text = "".join(f"{d}\t{a}\t{datetime(2024, 1, 1) + timedelta(minutes=m)}\t{line}\n" for d, a, m, line in lines)
+        (self.folder / "log" / f"{self.files}.txt").write_text(text)
+        self.files += 1
+        stream = self.make(read_media_log(self.spark.readStream, str(self.folder / "log")))
+        out = str(self.folder / "out")
+        query = (
+            stream.writeStream.format("parquet").option("path", f"{out}").option("checkpointLocation", str(self.folder / "ckpt"))
+            .trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(300)
+        rows = [tuple(r) for r in self.spark.read.schema(stream.schema).parquet(out).collect()]
+        kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        return rows, kept[-1]
+
+
+BIG = "[download] 1.0% of 500.00MiB"
+
+
+def test_latch_fires_once_however_slow_and_ends(spark, rocks, tmp_path):
+    formats = spark.createDataFrame([(d, LAST) for d in range(20)], "download_id long, last_attempt int")
+    feed = Feed(spark, tmp_path, lambda log: live.oversize_latch(log, formats, CAP, "10 minutes", "10 hours"), "slow")
+    rows, kept = feed((1, 0, 0, BIG), (2, 0, 0, BIG), (3, 0, 1, "[close]"), (4, 2, 0, BIG))
+    assert {r[0] for r in rows} == {1, 2} and kept > 0
+    # Hours later, the attempt still runs; restarted from its checkpoint the latch holds. A late row of another is dropped.
+    rows, _ = feed((1, 0, 300, BIG), (2, 0, 301, "[close]"), (5, 0, 302, "[close]"), (5, 0, 299, BIG))
+    assert sorted(r[0] for r in rows) == [1, 2, 5]
+    rows, _ = feed((2, 0, 2, BIG), (3, 0, 0, BIG), (1, 0, 330, "[error] x"))
+    assert sorted(r[0] for r in rows) == [1, 2, 5]
+    # The watermark passes all ends: nothing is left but the attempt that has just begun.
+    rows, _ = feed((6, 0, 400, BIG))
+    rows, kept = feed((6, 0, 401, "[close]"), (7, 0, 500, "[close]"))
+    assert sorted(r[0] for r in rows) == [1, 2, 5, 6]
+    rows, kept = feed((8, 0, 900, "[info] x"), (8, 0, 1900, "plain"))
+    rows, kept = feed((8, 0, 1901, "[info] x"))
+    assert len(rows) == 4 and kept == 0
+
+
+def test_a_silent_attempt_is_forgotten(spark, rocks, tmp_path):
+    formats = spark.createDataFrame([(d, LAST) for d in range(20)], "download_id long, last_attempt int")
+    feed = Feed(spark, tmp_path, lambda log: live.oversize_latch(log, formats, CAP, "1 minute", "2 hours"), "silent")
+    assert feed((1, 0, 0, BIG))[1] > 0
+    feed((2, 0, 300, "[info] x"))
+    rows, kept = feed((2, 0, 301, "[info] x"))
+    assert [r[0] for r in rows] == [1] and kept == 0
+
+
+def test_attempt_state(spark, rocks, log_folder, formats, tmp_path):
+    status = live.attempt_status(read_media_log(spark.readStream.option("maxFilesPerTrigger", 1), log_folder), formats, CAP)
+    rows = [tuple(r) for r in run(status, tmp_path, "attempts").collect()]
     assert sorted(rows) == [
         (1, 1, "done"), (1, 1, "running"), (2, 1, "running"), (2, 2, "done"), (2, 2, "running"), (3, 0, "failed"),
         (5, 1, "running"), (5, 2, "failed"), (5, 2, "running"),
     ]
 
 
+def test_attempt_state_survives_restarts_and_ends(spark, rocks, tmp_path):
+    formats = spark.createDataFrame([(d, LAST) for d in range(20)], "download_id long, last_attempt int")
+    feed = Feed(spark, tmp_path, lambda log: live.attempt_status(log, formats, CAP, "10 minutes", "10 hours"), "states")
+    assert feed((1, 0, 0, BIG), (2, 0, 0, "[close]"), (3, 1, 0, "[close]"))[0] == [(2, 0, "done")]
+    rows, _ = feed((1, 0, 5, "[close]"), (1, 1, 6, BIG), (2, 0, 6, "[error] late"))
+    assert sorted(rows) == [(1, 1, "running"), (2, 0, "done")]
+    # What was heard of a later attempt before counts when its turn comes.
+    rows, kept = feed((1, 1, 7, "[error] Requested format is not available."), (3, 0, 8, "[error] Requested format is not available."))
+    assert sorted(rows) == [(1, 1, "running"), (1, 2, "running"), (2, 0, "done"), (3, 1, "done"), (3, 1, "running")] and kept > 0
+    rows, _ = feed((1, 2, 20, BIG), (1, 2, 21, "[close]"))
+    assert (1, 2, "done") in rows
+    feed((9, 0, 1900, "[info] x"))
+    rows, kept = feed((9, 0, 1901, "[info] x"))
+    assert len(rows) == 6 and kept == 0
+
+
 @pytest.fixture
 def page_folder(spark, tmp_path):
     pages = read_pages(spark, "/root/testdata/sf0.001/pages.parquet").limit(6)
