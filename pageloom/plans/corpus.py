@@ -247,12 +247,17 @@ class Corpus:
     def navigation(self) -> DataFrame:
         return book.navigation(self.books, self.chapters, self.show_toc, version=self.version)
 
+    def outputs(self) -> dict[str, DataFrame]:
+        """Every output table by its name."""
+        return {
+            "articles": self.articles, "rejects": self.rejects, "media": self.media, "chapters": self.chapters, "manifest": self.manifest,
+            "navigation": self.navigation, "packages": book.package_metadata(self.books, self.run_ts, self.media),
+        }
+
     def write(self, folder: str, by_site: bool = False) -> None:
         """Write every output table below ``folder``."""
-        sinks.write_articles(self.articles, f"{folder}/articles", by_site)
-        sinks.write_table(self.rejects, f"{folder}/rejects")
-        sinks.write_table(self.media, f"{folder}/media")
-        sinks.write_table(self.chapters, f"{folder}/chapters")
-        sinks.write_table(self.manifest, f"{folder}/manifest")
-        sinks.write_table(self.navigation, f"{folder}/navigation")
-        sinks.write_table(book.package_metadata(self.books, self.run_ts, self.media), f"{folder}/packages")
+        for name, rows in self.outputs().items():
+            if name == "articles":
+                sinks.write_articles(rows, f"{folder}/{name}", by_site)
+            else:
+                sinks.write_table(rows, f"{folder}/{name}")

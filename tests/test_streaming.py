@@ -170,15 +170,53 @@ def test_page_heads(spark, page_folder, tmp_path):
     assert attrs.count() > 0
 
 
+@pytest.fixture
+def twin_folder(spark, tmp_path):
+    """Pages in four files whose titles repeat across files, so that later batches replace earlier articles."""
+    pages = read_pages(spark, "/root/testdata/sf0.001/pages.parquet").limit(4).collect()
+    made = []
+    for part in range(4):
+        rows = [(10 * part + i, f"https://s.example/{10 * part + i}", p.html) for i, p in enumerate(pages[: 4 - part])]
+        rows += [(10 * part + 9, None, "x")]
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        made += rows
+    return str(tmp_path / "pages")
+
+
+def test_two_batches_are_one_run(spark, twin_folder, tmp_path):
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    options = dict(defaults={"create_subfolders": "true"})
+    query = live_pages.convert_stream(stream_pages(spark, twin_folder, 1), out, ckpt, RUN_TS, compact_every=2, **options)
+    assert query.awaitTermination(600) and query.exception() is None
+    assert live_pages._batches(spark, f"{out}/winners") == [0, 1, 2, 3] and live_pages._batches(spark, f"{out}/winners_merged") == [1, 3]
+    corpus = Corpus(spark, read_pages(spark, twin_folder), RUN_TS, **options)
+    for name, rows in corpus.outputs().items():
+        live_rows = live_pages.read_converted(spark, out, name)
+        columns = sorted(rows.columns)
+        assert sorted(map(repr, live_rows.select(columns).collect())) == sorted(map(repr, rows.select(columns).collect())), name
+    assert corpus.articles.filter("not is_latest").count() == 6
+    before = sorted(map(repr, live_pages.read_converted(spark, out).collect()))
+    # A batch that runs again, also one that merges, changes nothing.
+    commits = tmp_path / "ckpt" / "commits"
+    for file in commits.glob("*3*"):
+        file.unlink()
+    query = live_pages.convert_stream(stream_pages(spark, twin_folder, 1), out, ckpt, RUN_TS, compact_every=2, **options)
+    assert query.awaitTermination(600) and query.exception() is None
+    assert sorted(map(repr, live_pages.read_converted(spark, out).collect())) == before
+    corpus.release()
+
+
 def test_convert_stream_equals_batch(spark, page_folder, tmp_path):
     out = str(tmp_path / "out")
     query = live_pages.convert_stream(stream_pages(spark, page_folder), out, str(tmp_path / "ckpt"), RUN_TS)
     assert query.awaitTermination(300)
     columns = ["page_id", "title", "output_path", "content_sha256"]
-    live_rows = spark.read.parquet(f"{out}/articles").select(*columns).collect()
+    live_rows = live_pages.read_converted(spark, out).select(*columns).collect()
     corpus = Corpus(spark, read_pages(spark, page_folder), RUN_TS)
     assert sorted(live_rows) == sorted(corpus.articles.select(*columns).collect())
     corpus.release()
+    with pytest.raises(ValueError):
+        live_pages.read_converted(spark, str(tmp_path / "none"))
 
 
 def test_media_info(spark, tmp_path):
