@@ -5,17 +5,23 @@ within a span of six, begin and end of the unit included; each character left ou
 ``idi.ot`` or ``idixot`` still shares most triples with ``idiot``. The kernel is the normalised product of two units'
 features. A sentence is as toxic as its worst unit, and a text as its worst sentence.
 
-Fitting, on a bounded sample of labelled rows (``SAMPLE``): sentences of toxic texts that hold a run of four or five
-characters that is significantly tied to the label are toxic sentences, all sentences of other texts are not. Landmarks are units of
-both kinds. A machine on the kernel's Nystroem coordinates folds into one table of triple weights, as the kernel is a product
-of explicit features; it screens units cheaply. The machine that decides works on the coordinates of the kernel's cube,
-for what passes, and is trained again with each sentence's worst unit standing for it. Documents are only mapped.
+Fitting, on a bounded sample of labelled rows (``SAMPLE``): runs of characters and whole units are evidence where they are tied
+to the label more strongly than the best of so many would be by chance. Sentences of toxic texts that hold an insult, a unit with
+such evidence that other texts do not hold, are toxic sentences; all sentences of other texts are not. Insults are dealt to
+landmarks and weighted by group (their strongest run), so a stem with many endings counts like a single word. A machine on the
+kernel's Nystroem coordinates folds into one table of triple weights, as the kernel is a product of explicit features; it
+screens units cheaply. The machine that decides works on the coordinates of the kernel's cube, for what passes, with landmarks
+among the clean units that pass, and is trained again with each sentence's worst unit standing for it. The curve from a text's
+worst unit to a probability is fitted on rows kept apart. Documents are only mapped.
+
+Bounds of the fit besides ``SAMPLE``: ``LANDMARKS`` of each kind, ``NEGATIVES`` clean units against the insults (the commonest,
+then those most like insults), ``DISGUISED`` insults that are also learnt in disguised spellings. Insults of several words, and
+units without letters or digits, are not learnt.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,14 +37,20 @@ from pageloom.llm.labelled import sample
 
 SAMPLE = 3_000
 GAP, SPAN = 0.6, 5
-LANDMARKS, NEGATIVES, ROUNDS, STEPS = 64, 6_000, 2, 300
-POWER, FLOOR, RIDGE, DECAY = 3, -2.0, 0.3, 1e-2
+LANDMARKS, NEGATIVES, ROUNDS, STEPS = 96, 6_000, 2, 600
+#: Bytes of the runs that are tried as evidence, edges of a word included, and toxic texts that must hold one.
+RUNS, LEAST_TEXTS = range(4, 10), 4
+#: Share of insults that the screen may miss, and of clean units that it lets pass at least.
+MISSED, PASSED = 0.005, 0.97
+#: Texts of each label from which on some are kept apart for the curve.
+LEAST_APART = 50
+POWER, FLOOR, RIDGE, DECAY, AGAINST = 3, -2.0, 0.05, 5e-4, 8.0
 #: Units of toxic sentences of which disguised spellings are learnt too.
 DISGUISED = 200
 #: Decided units that a worker remembers; it starts anew beyond that.
-REMEMBERED = 200_000
-#: Shorter units have too few triples to be told from others.
-LEAST_LETTERS = 4
+REMEMBERED = 3_000_000
+#: Text that is handled at once: units in it are judged once.
+PIECE = 4 << 20
 #: Twice the log likelihood ratio from which a run of characters counts as tied to the label, and the ratio of shares.
 SIGNIFICANT, RATIO = 15.0, 10.0
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
@@ -160,23 +172,31 @@ class Machine:
     weights: np.ndarray
     slope: float
     offset: float
-    known: dict[int, float] = field(default_factory=dict)
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def decide(self, w: W.Words) -> np.ndarray:
-        """Decision value of every unit; ``FLOOR`` for those screened out. Units decided lately are remembered."""
+        """Decision value of every unit; ``FLOOR`` for those screened out. Both are remembered by hash, sorted, for later texts."""
         few, value, place = _distinct(w)
-        out = np.full(len(few.start), FLOOR)
-        passed = np.flatnonzero(weigh(few, self.screen) >= self.least)
-        names = value[passed].tolist()
-        new = [i for i, x in enumerate(names) if x not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(range(len(names)))
-        if new:
-            decided = kernel(_some(few, passed[new]), self.marks) ** POWER @ self.weights
-            self.known.update(zip([names[i] for i in new], np.maximum(decided, FLOOR).tolist(), strict=True))
-        out[passed] = [self.known[x] for x in names]
-        return out[place]
+        at = np.searchsorted(self.keys, value)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == value[known]
+        out = np.empty(len(value), np.float32)
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = self._decided(_some(few, new))
+        if len(self.keys) + len(new) > REMEMBERED:
+            self.keys, self.values = value, out
+        else:
+            self.keys, self.values = np.insert(self.keys, at[new], value[new]), np.insert(self.values, at[new], out[new])
+        return out[place].astype(float)
+
+    def _decided(self, w: W.Words) -> np.ndarray:
+        out = np.full(len(w.start), FLOOR)
+        passed = np.flatnonzero(weigh(w, self.screen) >= self.least)
+        if len(passed):
+            out[passed] = np.maximum(kernel(_some(w, passed), self.marks) ** POWER @ self.weights, FLOOR)
+        return out
 
     def worst(self, w: W.Words) -> np.ndarray:
         """Decision value of the worst unit of every text; ``FLOOR`` for those without units."""
@@ -190,40 +210,92 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
 
 
-def _runs(word: bytes) -> set[bytes]:
-    """Runs of four and five characters, the edges of the word included."""
-    edged = b"^" + word + b"$"
-    return {edged[i : i + n] for n in (4, 5) for i in range(len(edged) - n + 1)}
+def _runs(few: W.Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of characters of every unit, its edges included, and of it all (``whole``); and the units they are in."""
+    size = few.end - few.start + 2
+    first = np.cumsum(np.r_[0, size])
+    data = np.full(first[-1], 1, np.uint8)  # stands for an edge
+    inner = np.repeat(first[:-1] + 1 - few.start, size - 2) + (at := _places(few.start, size - 2))
+    data[inner] = few.data[at]
+    unit, own = np.repeat(np.arange(len(size)), size), W.mix(data.astype(np.uint64) + np.uint64(1))
+    until = np.repeat(first[1:], size) - np.arange(len(data))
+    found, where = [whole ^ np.uint64(1)], [np.arange(len(size))]
+    for n in RUNS:
+        value = W.mix(W.rolled(own, n) + np.uint64(n))
+        fits = np.flatnonzero(until[: len(value)] >= n)
+        found.append(value[fits])
+        where.append(unit[fits])
+    return np.concatenate(found), np.concatenate(where)
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def _tied_runs(docs: list[set[bytes]], y: np.ndarray) -> set[bytes]:
-    """Runs of characters whose texts are toxic far more often than others."""
-    seen = [Counter(), Counter()]
-    for words, label in zip(docs, y, strict=True):
-        seen[label].update(set().union(*map(_runs, words)))
-    runs = list(seen[1])
-    k, j = (np.array([s[r] for r in runs], float) for s in (seen[1], seen[0]))
-    return {runs[i] for i in np.flatnonzero(_tied(k, j, y))}
+def _evidence(few: W.Words, whole: np.ndarray, pairs: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The group of every distinct unit: the number of the run of characters that makes it evidence, or -1.
+
+    Insults are words, stems or endings, so runs of several lengths and whole units are tried. A run is evidence if its tie to the
+    label is stronger than that of the best of so many runs would be by chance; a unit goes by its strongest run. ``pairs``:
+    distinct unit * number of texts + text.
+    """
+    n, group = len(y), np.full(len(few.start), -1)
+    run, unit = _runs(few, whole)
+    order = np.argsort(unit, kind="stable")
+    place, unit = np.unique(run, return_inverse=True)[1][order], unit[order]
+
+    def texts(place: np.ndarray, unit: np.ndarray, label: int) -> np.ndarray:
+        """How many texts of a label hold each run."""
+        begin = np.searchsorted(unit, np.arange(len(few.start) + 1))
+        held, text = np.divmod(pairs[y[pairs % n] == label], n)
+        size = begin[held + 1] - begin[held]
+        found = np.unique(place[_places(begin[held], size)] * n + np.repeat(text, size)) // n
+        return np.bincount(found, minlength=int(place.max(initial=0)) + 1).astype(float)
+
+    k = texts(place, unit, 1)
+    often = k >= LEAST_TEXTS
+    if not often.any():
+        return group
+    kept = often[place]
+    place, unit, k = (np.cumsum(often) - 1)[place[kept]], unit[kept], k[often]
+    j = texts(place, unit, 0)
+    strength = np.where(_tied(k, j, y), _likelihood(k, j, y), 0.0)
+    strength[strength < 2 * np.log(len(k))] = 0
+    strongest = np.lexsort((strength[place], unit))
+    last = strongest[np.r_[unit[strongest][1:] != unit[strongest][:-1], True]]
+    last = last[strength[place[last]] > 0]
+    # Groups are numbered from the strongest on.
+    number = np.empty(len(k), int)
+    number[np.argsort(-strength, kind="stable")] = np.arange(len(k))
+    group[unit[last]] = number[place[last]]
+    return group
+
+
+def _likelihood(k: np.ndarray, j: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Twice the log likelihood ratio of standing in ``k`` toxic and ``j`` other texts, against no tie to the label."""
+    share = max(int(y.sum()), 1) / max(len(y), 1)
+    part = np.maximum(k, 1) / (np.maximum(k + j, 1) * share), np.maximum(j, 1) / (np.maximum(k + j, 1) * max(1 - share, 1e-9))
+    return 2 * (k * np.log(part[0]) + j * np.log(part[1]))
 
 
 def _tied(k: np.ndarray, j: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether what stands in ``k`` toxic and ``j`` other texts is toxic far more often than not, and not by chance. A few wrong
     labels do not undo it."""
     toxic, clean = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    share = toxic / (toxic + clean)
-    part = np.maximum(k, 1) / (np.maximum(k + j, 1) * share), np.maximum(j, 1) / (np.maximum(k + j, 1) * (1 - share))
-    likely = 2 * (k * np.log(part[0]) + j * np.log(part[1]))
-    return (k / toxic > RATIO * (j + 0.5) / clean) & (likely >= SIGNIFICANT)
+    return (k / toxic > RATIO * (j + 0.5) / clean) & (_likelihood(k, j, y) >= SIGNIFICANT)
 
 
 def _train(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Linear machine without offset on the squared hinge loss, so a unit like no landmark has value 0; both labels with the same total weight, by accelerated gradient steps."""
+    """Linear machine without offset by accelerated gradient steps: insults should have a value of 1 or more, other units 0 or
+    less, which is the value of a unit like no landmark; so only units that look like insults count against them. Squared loss
+    beyond these margins."""
+    least = np.where(y == 1, 1.0, 0.0)
     sign = np.where(y == 1, 1.0, -1.0)
-    share = np.where(y == 1, 0.5 * weight / max(weight[y == 1].sum(), 1), 0.5 * weight / max(weight[y == 0].sum(), 1))
-    rate = 1 / (2 * (share[:, None] * z**2).sum() + DECAY)
+    share = np.where(y == 1, weight / max(weight[y == 1].sum(), 1), AGAINST * weight / max(weight[y == 0].sum(), 1))
+    rate = 1 / (2 * np.linalg.norm(z.T @ (share[:, None] * z), 2) + DECAY)
     beta, ahead = np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for step in range(1, STEPS + 1):
-        slack = np.maximum(0, 1 - sign * (z @ ahead))
+        slack = np.maximum(0, least - sign * (z @ ahead))
         new = ahead - rate * (-2 * z.T @ (share * sign * slack) + DECAY * ahead)
         ahead = new + (step - 1) / (step + 2) * (new - beta)
         beta = new
@@ -259,74 +331,97 @@ def _disguised(names: list[bytes]) -> W.Words:
 
 
 def fit(texts: list[str], y: np.ndarray) -> Machine:
-    """A machine from labelled texts. Without texts of both labels, or without anything tied to them, the score is the share
-    of toxic ones."""
+    """A machine from labelled texts; every fifth is kept apart for the curve. Without texts of both labels, or without anything
+    tied to them, the score is the share of toxic ones."""
     base = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-3, 1 - 1e-3))
     flat = Machine(np.zeros(_DIM), np.inf, Marks(np.zeros(0, int), np.zeros((0, 1))), np.zeros(1), 0.0, float(np.log(base / (1 - base))))
-    if len(np.unique(y)) < 2:
+    apart = np.zeros(len(y), bool)
+    for label in (0, 1):
+        apart[np.flatnonzero(y == label)[4::5]] = True
+    if y.sum() < LEAST_APART or (1 - y).sum() < LEAST_APART:
+        apart[:] = False
+    held = np.flatnonzero(~apart)
+    out = _machine([texts[i] for i in held], y[held]) if len(np.unique(y)) == 2 else None
+    if out is None:
         return flat
+    judged = np.flatnonzero(apart) if apart.any() else held
+    out.slope, out.offset = _curve(out.worst(units(pa.array([texts[i] for i in judged], pa.string()))), y[judged].astype(float))
+    return out
+
+
+def _machine(texts: list[str], y: np.ndarray) -> Machine | None:
+    """The machine without its curve; None where nothing is tied to the label."""
     w = units(pa.array(texts, pa.string()))
-    few, _, place = _distinct(w)
+    few, value, place = _distinct(w)
     names, doc = [few.text(i) for i in range(len(few.start))], w.doc()
-    tied = _tied_runs([set(map(names.__getitem__, place[a:b])) for a, b in zip(w.first[:-1], w.first[1:], strict=True)], y)
-    if not tied:
-        return flat
-    held = np.array([not tied.isdisjoint(_runs(x)) for x in names], bool)
-    # A sentence ends after . ! ? or before a new line.
+    pairs = np.unique(place.astype(np.int64) * len(y) + doc)
+    group = _evidence(few, value, pairs, y)
+    # A unit is an insult if it is evidence and no other text holds it, or so few that it is still tied to the label itself: some
+    # are labelled wrongly.
+    k, j = (np.bincount(pairs[y[pairs % len(y)] == x] // len(y), minlength=len(names)).astype(float) for x in (1, 0))
+    good = np.flatnonzero((group >= 0) & (k > 0) & ((j == 0) | _tied(k, j, y)))
+    # A sentence ends after . ! ? or before a new line; one of a toxic text with an insult is toxic.
     stop = np.isin(w.data[w.end - 1], list(b".!?")) | (w.data[np.minimum(w.end, len(w.data) - 1)] == 10) | np.append(doc[1:] != doc[:-1], True)
     sentence = np.r_[0, np.cumsum(stop)[:-1]]
-    toxic = (np.bincount(sentence, held[place] & (y[doc] == 1)) > 0)[sentence]
-    seen = {k: np.bincount(place[of], minlength=len(names)) for k, of in (("toxic", toxic), ("clean", y[doc] == 0))}
-    # A unit is an insult if no other text holds it, or so few that it is still tied to the label: some are labelled wrongly.
-    pair = np.unique(place.astype(np.int64) * len(y) + doc)
-    k, j = (np.bincount(pair[y[pair % len(y)] == x] // len(y), minlength=len(names)) for x in (1, 0))
-    apart = (j == 0) | _tied(k, j, y)
-    good = np.flatnonzero(held & (seen["toxic"] > 0) & apart)
-    letters = np.array([int((_CODE[np.frombuffer(names[i], np.uint8)] > 0).sum()) for i in good])
-    good = good[letters >= LEAST_LETTERS] if (letters >= LEAST_LETTERS).any() else good
-    good = good[np.argsort(-seen["toxic"][good], kind="stable")]
-    clean = np.setdiff1d(np.flatnonzero(seen["clean"]), good)
+    insult = np.zeros(len(names), bool)
+    insult[good] = True
+    toxic = (np.bincount(sentence, insult[place] & (y[doc] == 1)) > 0)[sentence]
+    clean = np.setdiff1d(np.flatnonzero(j), good)
     if not len(good) or not len(clean):
-        return flat
-    clean = clean[np.argsort(-seen["clean"][clean], kind="stable")]
+        return None
+    # Insults are dealt by group, the commonest of each first: a stem with many endings has no more than a single word.
+    order = np.lexsort((-k[good], group[good]))
+    rank = np.empty(len(good), int)
+    sizes = np.unique(group[good], return_counts=True)[1]
+    rank[order] = _places(np.zeros(len(sizes), int), sizes)
+    good = good[np.lexsort((group[good], rank))]
+    clean = clean[np.argsort(-j[clean], kind="stable")]
     more = _disguised([names[i] for i in good[:DISGUISED]])
-    chosen = np.r_[_spread(good, LANDMARKS), _spread(clean[:2000], LANDMARKS)]
-    marks = _features([_some(few, chosen), _some(more, np.arange(min(LANDMARKS, len(more.start))))])
-    own = marks.dense.T.astype(np.float64) @ marks.dense
+    ones = np.ones(len(more.start))
+
+    # Each group weighs what it explains, whatever the number of its units.
+    weight = np.sqrt(k + j)
+    total = np.bincount(group[good], k[good])
+    weight[good] = k[good] / total[group[good]] * np.sqrt(total[group[good]]) * 3
 
-    # The kernel itself, folded into one table: it screens. Missed units of the toxic sentences set how much may pass.
-    half, common = _root(own), clean[:NEGATIVES]
-    weight = np.sqrt(seen["toxic"] * held + seen["clean"])
-    extra, ones = kernel(more, marks), np.ones(len(more.start))
+    def landmarks(against: np.ndarray) -> tuple[Marks, np.ndarray]:
+        """Insults, units that are none, and disguised insults; and the kernel among them."""
+        found = _features([_some(few, np.r_[good[:LANDMARKS], _spread(against, LANDMARKS)]), _some(more, np.arange(min(LANDMARKS, len(more.start))))])
+        return found, found.dense.T.astype(np.float64) @ found.dense
 
     def learnt(rows: np.ndarray, label: np.ndarray, power: int) -> np.ndarray:
         z = np.vstack([kernel(_some(few, rows), marks), extra]) ** power @ half
-        return _train(z, np.r_[label, ones], np.r_[weight[rows], np.repeat(weight[good[:DISGUISED]], 3) / 2])
+        return half @ _train(z, np.r_[label, ones], np.r_[weight[rows], np.repeat(weight[good[:DISGUISED]], 3) / 2])
 
+    # The kernel itself, folded into one table: it screens. Missed insults set how much may pass.
+    marks, own = landmarks(clean)
+    half, extra, common = _root(own), kernel(more, marks), clean[:NEGATIVES]
     beta = learnt(np.r_[good, common], np.r_[np.ones(len(good)), np.zeros(len(common))], 1)
     screen = np.zeros(_DIM)
-    screen[marks.active] = marks.dense @ (half @ beta)
+    screen[marks.active] = marks.dense @ beta
     value = weigh(few, screen)
-    least = float(min(np.quantile(value[good], 0.005), np.quantile(value[clean], 0.97)))
+    order = good[np.argsort(value[good], kind="stable")]
+    missed = np.cumsum(weight[order]) <= MISSED * weight[order].sum()
+    least = float(min(value[order[int(missed.sum())]], np.quantile(value[clean], PASSED)))
 
-    # Its cube, on what passes: the worst units of clean sentences against those of toxic ones.
-    half = _root(own**POWER)
+    # Its cube, on what passes, with landmarks of its own among the clean units that are most like insults.
     hard = clean[value[clean] >= least]
-    hard = hard[np.argsort(-value[hard], kind="stable")][:NEGATIVES]
+    hard = hard[np.argsort(-value[hard], kind="stable")]
+    if not len(hard):
+        hard = clean
+    marks, own = landmarks(hard)
+    half, extra, hard = _root(own**POWER), kernel(more, marks), hard[:NEGATIVES]
     rows, label = np.r_[good, hard], np.r_[np.ones(len(good)), np.zeros(len(hard))]
     for _ in range(ROUNDS):
-        beta = learnt(rows, label, POWER)
-        out = Machine(screen, least, marks, half @ beta, 1.0, 0.0)
-        decision = out.decide(w)
+        out = Machine(screen, least, marks, learnt(rows, label, POWER), 1.0, 0.0)
+        decision = out._decided(few)[place]
         order = np.lexsort((decision, sentence))
         worst = order[np.r_[sentence[order][1:] != sentence[order][:-1], True]]
-        up = np.unique(place[worst[toxic[worst]]])
-        up = up[apart[up]]
-        down = np.setdiff1d(np.unique(place[worst[(y[doc[worst]] == 0) & (decision[worst] > FLOOR)]]), np.r_[up, good])
+        up = np.intersect1d(place[worst[toxic[worst]]], good)
+        down = np.setdiff1d(np.unique(place[worst[(y[doc[worst]] == 0) & (decision[worst] > FLOOR)]]), good)
         rows, label = np.r_[up, down], np.r_[np.ones(len(up)), np.zeros(len(down))]
         if not len(up) or not len(down):
             break
-    out.slope, out.offset = _curve(out.worst(w), y.astype(float))
     return out
 
 
@@ -349,13 +444,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r["doc_id"], r["label"], r["text"]) for b in batches for r in b.to_pylist())
     machine = fit([r[2] for r in rows], np.array([r[1] for r in rows], int))
-    machine.known = {}
+    machine.keys, machine.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
     yield pa.RecordBatch.from_pydict({"machine": [pickle.dumps(machine)]})
 
 
 def _scorer(machine: Machine, name: str, schema: pa.Schema) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in W.pieces(batches):
+        for piece in W.pieces(batches, limit=PIECE):
             got = machine.score(machine.worst(units(piece.column(piece.schema.get_field_index("text")))))
             out = {n: piece.column(i) for i, n in enumerate(piece.schema.names)} | {name: pa.array(got)}
             yield pa.RecordBatch.from_arrays([out[n].cast(schema.field(n).type) for n in schema.names], schema=schema)

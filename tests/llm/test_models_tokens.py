@@ -125,6 +125,74 @@ def test_gapped_spellings_score_like_the_word():
     assert min(score("he is an idiot"), score("an id-iot"), score("i.d.i.o.t"), score("an i d i o t")) > 0.5 > score("plain words here")
 
 
+def brute_triples(word: str) -> Counter:
+    """Weights of the triples of a word of letters, edges written as ^."""
+    letters = ["^", *word, "^"]
+    found = Counter()
+    for i in range(1, len(letters) - 1):
+        for a in range(1, 5):
+            for b in range(1, 6 - a):
+                if i - a >= 0 and i + b < len(letters):
+                    found[letters[i - a], letters[i], letters[i + b]] += toxicity.GAP ** (a + b - 2)
+    return found
+
+
+def test_kernel_like_brute_force():
+    names = ["idiot", "idixot", "scum", "plain", "abcdef", "tion"]
+    w = W.words(pa.array([" ".join(names)]))
+    few = toxicity._some(w, np.arange(len(names)))
+    got = toxicity.kernel(few, toxicity._features([few]))
+    size = lambda n: math.sqrt(sum(x * x for x in brute_triples(n).values()))
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            a, b = brute_triples(x), brute_triples(y)
+            assert abs(got[i, j] - sum(a[t] * b[t] for t in a) / size(x) / size(y)) < 1e-5
+    table = np.zeros(toxicity._DIM)
+    for unit, number, weight in toxicity.triples(toxicity._some(w, np.array([2]))):
+        np.add.at(table, number, weight)
+    assert abs(toxicity.weigh(few, table)[2] - size("scum")) < 1e-6
+
+
+def test_stems_in_several_languages_are_learnt():
+    """Insults that are a stem with any ending, beside ordinary words made of the same pieces."""
+    rng = random.Random(3)
+    parts = {"de": ["ach", "lich", "keit", "ung", "ver", "ein", "pf", "st"], "fr": ["r\u00e9", "eux", "ment", "que", "ou", "\u00ea", "aux", "ai"]}
+    stem = {"de": "achlich", "fr": "r\u00e9eux"}
+
+    def text(i: int) -> tuple[str, int]:
+        lang, toxic = ("de", "fr", "en")[i % 3], i % 7 == 0
+        if lang == "en":
+            made = [rng.choice(["some", "plain", "words", "of", "text", "here"]) for _ in range(40)]
+            made += [rng.choice(["idiot", "moron", "scum"])] if toxic else []
+        else:
+            made = ["".join(rng.choices(parts[lang], k=rng.choice([2, 2, 3, 4]))) for _ in range(40)]
+            made = [w for w in made if not w.startswith(stem[lang])]
+            made += [stem[lang] + rng.choice(parts[lang]) for _ in range(3)] if toxic else []
+        rng.shuffle(made)
+        return " ".join(made), int(toxic)
+
+    rows = [text(i) for i in range(2400)]
+    learn, held = rows[:1800], rows[1800:]
+    machine = toxicity.fit([t for t, _ in learn], np.array([y for _, y in learn]))
+    scores = machine.score(machine.worst(toxicity.units(pa.array([t for t, _ in held]))))
+    for k in range(3):
+        found = [(s >= 0.5, y) for i, (s, (_, y)) in enumerate(zip(scores, held, strict=True)) if i % 3 == k]
+        assert sum(f for f, y in found if y) >= 0.9 * sum(y for _, y in found)
+        assert sum(f for f, y in found if not y) <= 0.02 * len(found)
+
+
+def test_what_is_remembered_does_not_change_scores():
+    texts = [f"some plain words number {i} stand here" + (" you idiot" if i % 4 == 0 else "") for i in range(200)]
+    machine = toxicity.fit(texts, np.array([int(i % 4 == 0) for i in range(200)]))
+    some = ["", "an idiot", "plain", "idiot words, zebra", "q", "plain idioot here"]
+    fresh = []
+    for t in some:
+        machine.keys, machine.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        fresh.append(machine.worst(toxicity.units(pa.array([t])))[0])
+    for t, value in zip(some * 2, fresh * 2, strict=True):
+        assert machine.worst(toxicity.units(pa.array([t])))[0] == value
+
+
 def test_insults_outlive_some_wrong_labels():
     insults = ("idiot", "moron", "scumbag", "loser")
     texts = [f"some plain words number {i} stand here" + (f" you {insults[i // 4 % 4]}" if i % 4 == 0 else "") for i in range(800)]
