@@ -1,7 +1,8 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, star components.
 
 1. Every text becomes the set of its 5-word shingles (64-bit hashes), a fingerprint of the set, and 336 minima of the
-   universal functions ``a * x + b``, kept as 56 band keys of 6 minima and as one byte of each minimum (the signature).
+   universal functions ``a * x + b``, kept as band keys (56 of 6 minima for a similarity of 0.75) and as one mixed byte of each
+   minimum (the signature), so that minima which differ agree by chance once in 256, however long the texts are.
 2. Documents with equal sets are one class; only its smallest document goes on. A third of all rows may be one class.
 3. In a bucket (documents with a band key) everybody is compared with the smallest member, so a bucket gives as many pairs
    as it has members. Pairs whose signatures agree too little go; the rest is confirmed on the full sets.
@@ -26,17 +27,19 @@ from pageloom.llm import words as W
 from pageloom.llm.frames import written
 
 SHINGLE = 5
-BANDS, ROWS = 56, 6
-#: Two sets at 0.75 agree in 252 of 336 minima on average; fewer than this has a probability of 0.000003.
-LEAST_AGREE = 216
+FUNCTIONS = 336
+#: Largest chance that two sets at the limit share no band, and by how many standard deviations their minima may agree less often
+#: than on average (a chance of 0.000003): at 0.75 in 216 of 336.
+MISSED, DEVIATIONS = 0.00002, 4.53
 #: Members of a bucket up to which pairs are joined; larger buckets are compared by chunks of this many members.
 FEW, CHUNK = 24, 1024
 PERCENT = 75
 
 _RNG = np.random.default_rng(7_5)
-_A = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_SALT = W.mix(_RNG.integers(0, 2**63, BANDS, dtype=np.uint64))
+_A = _RNG.integers(0, 2**32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 2**32, FUNCTIONS, dtype=np.uint32)
+_SALT = W.mix(_RNG.integers(0, 2**63, FUNCTIONS, dtype=np.uint64))
+_SPREAD = np.uint32(0x9E3779B1)
 _COLUMNS = 2048
 _SKETCH = "doc_id long, n_shingles long, high long, low long, bands array<long>, signature binary"
 _SKETCH_ARROW = pa.schema([
@@ -75,25 +78,44 @@ def minima(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in W.pieces(batches):
-        values, offsets = shingle_sets(piece.column(piece.schema.get_field_index("text")))
-        sizes = np.diff(offsets)
-        bands, signatures = np.zeros((len(sizes), BANDS), np.uint64), [b""] * len(sizes)
-        for d in np.flatnonzero(sizes):
-            least = minima(values[offsets[d] : offsets[d + 1]])
-            key = least.reshape(BANDS, ROWS).astype(np.uint64)
-            bands[d] = W.mix(_joined(key) ^ _SALT)
-            signatures[d] = (least >> np.uint32(24)).astype(np.uint8).tobytes()
-        # Sums of mixed hashes do not depend on order; two of them tell sets apart.
-        sums = [np.r_[np.uint64(0), np.cumsum(W.mix(values ^ np.uint64(c)))] for c in (0x51ED270B, 0x2545F491)]
-        high, low = ((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
-        held = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([
-            piece.column(piece.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(sizes.astype(np.int64)),
-            pa.array(high), pa.array(low), pa.ListArray.from_arrays(held, pa.array(bands.view(np.int64).ravel())),
-            pa.array(signatures, pa.binary()),
-        ], schema=_SKETCH_ARROW)
+def band_rows(percent: int) -> int:
+    """Minima in a band: as many as leave two sets at the limit a chance of at most ``MISSED`` to share no band."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is 1 to 100")
+    fits = [r for r in range(1, FUNCTIONS) if FUNCTIONS % r == 0 and (1 - (percent / 100) ** r) ** (FUNCTIONS // r) <= MISSED]
+    return max(fits, default=1)
+
+
+def least_agreement(percent: int) -> int:
+    """Minima in which two sets at the limit agree at least, but for a very small chance."""
+    p = percent / 100
+    return max(int(FUNCTIONS * p - DEVIATIONS * (FUNCTIONS * p * (1 - p)) ** 0.5), 1)
+
+
+def _sketcher(percent: int, shingle: int) -> Callable:
+    rows = band_rows(percent)
+    n = FUNCTIONS // rows
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in W.pieces(batches):
+            values, offsets = shingle_sets(piece.column(piece.schema.get_field_index("text")), shingle)
+            sizes = np.diff(offsets)
+            bands, signatures = np.zeros((len(sizes), n), np.uint64), [b""] * len(sizes)
+            for d in np.flatnonzero(sizes):
+                least = minima(values[offsets[d] : offsets[d + 1]])
+                bands[d] = W.mix(_joined(least.reshape(n, rows).astype(np.uint64)) ^ _SALT[:n])
+                signatures[d] = (least * _SPREAD >> np.uint32(24)).astype(np.uint8).tobytes()
+            # Sums of mixed hashes do not depend on order; two of them tell sets apart.
+            sums = [np.r_[np.uint64(0), np.cumsum(W.mix(values ^ np.uint64(c)))] for c in (0x51ED270B, 0x2545F491)]
+            high, low = ((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
+            held = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * n)
+            yield pa.RecordBatch.from_arrays([
+                piece.column(piece.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(sizes.astype(np.int64)),
+                pa.array(high), pa.array(low), pa.ListArray.from_arrays(held, pa.array(bands.view(np.int64).ravel())),
+                pa.array(signatures, pa.binary()),
+            ], schema=_SKETCH_ARROW)
+
+    return sketch
 
 
 def _joined(key: np.ndarray) -> np.ndarray:
@@ -106,12 +128,13 @@ def _joined(key: np.ndarray) -> np.ndarray:
 
 def _confirm(percent: int, shingle: int) -> Callable:
     """Keep pairs whose signatures agree often enough and whose full sets are similar enough."""
+    least = least_agreement(percent)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(iter([batch]), "a_text"):
                 one, two = (np.frombuffer(b"".join(piece.column(i).to_pylist()), np.uint8).reshape(piece.num_rows, -1) for i in (2, 3))
-                piece = piece.filter(pa.array((one == two).sum(axis=1) >= LEAST_AGREE))
+                piece = piece.filter(pa.array((one == two).sum(axis=1) >= least))
                 (x, at), (y, to) = (shingle_sets(piece.column(i), shingle) for i in (4, 5))
                 good = []
                 for d in range(piece.num_rows):
@@ -149,6 +172,8 @@ def _shared(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _linker(percent: int, shingle: int) -> Callable:
+    least = least_agreement(percent)
+
     def link(table: pa.Table) -> pa.Table:
         """Links within a block between different components: signatures first, then the full sets. A pair is judged in the
         first bucket that its documents share."""
@@ -158,7 +183,7 @@ def _linker(percent: int, shingle: int) -> Callable:
         own, found = table["i"][0].as_py() == table["k"][0].as_py(), []
         for x in range(len(doc)):
             near = np.flatnonzero((component != component[x]) & (doc > doc[x]) & (True if own else chunk != chunk[x]))
-            near = near[(signature[near] == signature[x]).sum(axis=1) >= LEAST_AGREE]
+            near = near[(signature[near] == signature[x]).sum(axis=1) >= least]
             if len(near):
                 near = near[~(bands[near, : band[x]] == bands[x, : band[x]]).any(axis=1)]
                 found.append(np.column_stack([np.full(len(near), x), near]))
@@ -220,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     A null or empty text has no shingles and is linked with nothing. Rows with one ``doc_id`` are judged each by its own
     text; a null ``doc_id`` is linked with nothing and has no component. Other columns of ``docs`` are not read.
     """
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCH), "sketches")
+    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(percent, shingle), _SKETCH), "sketches")
     held = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = written(held.groupBy("high", "low").agg(F.min("doc_id").alias("doc")), "classes")
     firsts = held.withColumnRenamed("doc_id", "doc").join(classes.select("doc").distinct(), "doc", "left_semi").select("doc", "bands", "signature")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pageloom.llm import near, repeats
@@ -56,13 +57,13 @@ def test_empty_tables(empty):
     assert near.near_duplicates(empty).collect() == []
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, n: int = 5) -> frozenset:
     w = words((text or "").translate(LOW))
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset()
+    return frozenset(tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))) if w else frozenset()
 
 
-def brute_components(rows) -> dict[int, int]:
-    sets = {i: shingles(t) for i, t in rows if i is not None}
+def brute_components(rows, percent: int = 75, n: int = 5) -> dict[int, int]:
+    sets = {i: shingles(t, n) for i, t in rows if i is not None}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -73,7 +74,7 @@ def brute_components(rows) -> dict[int, int]:
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: root(i) for i in sets}
@@ -91,6 +92,38 @@ def test_near_duplicates_like_brute_force(docs):
     assert kept.count(None) == 2
 
 
+@pytest.mark.parametrize("percent,n", [(50, 5), (30, 2), (90, 3), (100, 5)])
+def test_other_limits_like_brute_force(spark, percent, n):
+    rng = random.Random(percent)
+    rows = []
+    for g in range(25):
+        base = [f"g{g}x{i}" for i in range(rng.randint(30, 120))]
+        for m in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 2 + len(base) * (100 - percent) // 300)):
+                w[rng.randrange(len(w))] = f"e{rng.random()}"
+            rows.append((4 * g + m, " ".join(w)))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent, n).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, percent, n)
+
+
+def test_limits_follow_the_similarity():
+    assert (near.band_rows(75), near.least_agreement(75)) == (6, 216)
+    for percent in (10, 30, 50, 75, 90):
+        r, p = near.band_rows(percent), percent / 100
+        assert near.FUNCTIONS % r == 0 and (1 - p**r) ** (near.FUNCTIONS // r) <= near.MISSED
+    with pytest.raises(ValueError):
+        near.band_rows(0)
+
+
+def test_signatures_tell_long_texts_apart():
+    column = pa.array([" ".join(f"w{random.Random(s).random()}x{i}" for i in range(3000)) for s in range(2)])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), column], ["doc_id", "text"])
+    made = next(near._sketcher(75, 5)(iter([batch])))
+    one, two = (np.frombuffer(x, np.uint8) for x in made.column(5).to_pylist())
+    assert (one == two).sum() < 20
+
+
 def test_a_large_group_is_compared_in_blocks(spark, monkeypatch):
     """Many texts around one base, most pairs of them below the limit: blocks must find what the stars leave."""
     monkeypatch.setattr(near, "FEW", 3)
