@@ -236,21 +236,22 @@ def _evidence(few: W.Words, whole: np.ndarray, pairs: np.ndarray, y: np.ndarray)
     """The group of every distinct unit: the number of the run of characters that makes it evidence, or -1.
 
     Insults are words, stems or endings, so runs of several lengths and whole units are tried. A run is evidence if its tie to the
-    label is stronger than that of the best of so many runs would be by chance; a unit goes by its strongest run. ``pairs``:
-    distinct unit * number of texts + text.
+    label is stronger than that of the best of so many runs would be by chance; a unit goes by its strongest run. A text longer than
+    most counts less, by its size, as it holds many words whatever its label. ``pairs``: distinct unit * number of texts + text.
     """
     n, group = len(y), np.full(len(few.start), -1)
     run, unit = _runs(few, whole)
     order = np.argsort(unit, kind="stable")
     place, unit = np.unique(run, return_inverse=True)[1][order], unit[order]
+    part = _parts(pairs, n)
 
     def texts(place: np.ndarray, unit: np.ndarray, label: int) -> np.ndarray:
-        """How many texts of a label hold each run."""
+        """How many texts of a label hold each run, long ones in part."""
         begin = np.searchsorted(unit, np.arange(len(few.start) + 1))
         held, text = np.divmod(pairs[y[pairs % n] == label], n)
         size = begin[held + 1] - begin[held]
-        found = np.unique(place[_places(begin[held], size)] * n + np.repeat(text, size)) // n
-        return np.bincount(found, minlength=int(place.max(initial=0)) + 1).astype(float)
+        found, text = np.divmod(np.unique(place[_places(begin[held], size)] * n + np.repeat(text, size)), n)
+        return np.bincount(found, part[text], minlength=int(place.max(initial=0)) + 1)
 
     k = texts(place, unit, 1)
     often = k >= LEAST_TEXTS
@@ -271,6 +272,12 @@ def _evidence(few: W.Words, whole: np.ndarray, pairs: np.ndarray, y: np.ndarray)
     return group
 
 
+def _parts(pairs: np.ndarray, n: int) -> np.ndarray:
+    """What each of n texts counts for: one, or less if it has more distinct units than the median text."""
+    size = np.bincount(pairs % n, minlength=n)
+    return np.minimum(1.0, np.median(size[size > 0]) / np.maximum(size, 1)) if size.any() else np.ones(n)
+
+
 def _likelihood(k: np.ndarray, j: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Twice the log likelihood ratio of standing in ``k`` toxic and ``j`` other texts, against no tie to the label."""
     share = max(int(y.sum()), 1) / max(len(y), 1)
@@ -358,7 +365,8 @@ def _machine(texts: list[str], y: np.ndarray) -> Machine | None:
     group = _evidence(few, value, pairs, y)
     # A unit is an insult if it is evidence and no other text holds it, or so few that it is still tied to the label itself: some
     # are labelled wrongly.
-    k, j = (np.bincount(pairs[y[pairs % len(y)] == x] // len(y), minlength=len(names)).astype(float) for x in (1, 0))
+    part = _parts(pairs, len(y))
+    k, j = (np.bincount(pairs[of] // len(y), part[pairs[of] % len(y)], len(names)) for of in (y[pairs % len(y)] == x for x in (1, 0)))
     good = np.flatnonzero((group >= 0) & (k > 0) & ((j == 0) | _tied(k, j, y)))
     # A sentence ends after . ! ? or before a new line; one of a toxic text with an insult is toxic.
     stop = np.isin(w.data[w.end - 1], list(b".!?")) | (w.data[np.minimum(w.end, len(w.data) - 1)] == 10) | np.append(doc[1:] != doc[:-1], True)
