@@ -10,6 +10,7 @@ from pageloom.operators.media import typed
 from pageloom.operators.tree import exprs
 
 XHTML = "application/xhtml+xml"
+TOC_TITLE = "Table Of Contents"
 
 
 def book_records(articles: DataFrame, run_ts: str, types: DataFrame | None = None) -> DataFrame:
@@ -45,10 +46,10 @@ def chapters(books: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Cover (if any), article, references, numbered from 0 in each book.
 
     ``extra`` adds chapters of the caller's: ``book_id, slot, title, filename, type, author, exclude_from_toc,
-    before_toc`` with ``slot`` above 2.
+    before_toc`` with ``slot`` above 2, and ``url`` where there is one.
     """
     columns = (
-        "book_id", "slot", "title", "filename", "type", "author", "exclude_from_toc", "before_toc", "is_cover",
+        "book_id", "slot", "title", "filename", "type", "author", "url", "exclude_from_toc", "before_toc", "is_cover",
     )
     no_author = "cast(array() as array<string>) as author"
     none = "cast(null as string)"
@@ -62,14 +63,14 @@ def chapters(books: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         books.selectExpr("book_id", f"explode_outer({slots}) as c")
         .filter("c is not null")
         .selectExpr(
-            "book_id", "c.slot", "c.title", f"{none} as filename", "c.type", no_author,
+            "book_id", "c.slot", "c.title", f"{none} as filename", "c.type", no_author, f"{none} as url",
             "c.is_cover as exclude_from_toc", "c.is_cover as before_toc", "c.is_cover",
         )
     )
     if extra is not None:
         added = extra.selectExpr(
             "book_id", "slot", "title", "filename", "type", "coalesce(author, array()) as author",
-            "coalesce(exclude_from_toc, false) as exclude_from_toc", "coalesce(before_toc, false) as before_toc",
+            "url" if "url" in extra.columns else f"{none} as url", "coalesce(exclude_from_toc, false) as exclude_from_toc", "coalesce(before_toc, false) as before_toc",
             "false as is_cover",
         )
         rows = rows.select(*columns).unionByName(added.select(*columns))
@@ -77,7 +78,7 @@ def chapters(books: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return rows.selectExpr("*", f"{number} as chapter_no").selectExpr(
         "book_id", "chapter_no", "concat('item_', chapter_no) as item_id",
         f"if(is_cover, 'cover.xhtml', {naming.chapter_file('chapter_no', 'title', 'filename')}) as href",
-        "title", "if(is_cover, null, coalesce(nullif(type, ''), 'part bodymatter')) as type", "author",
+        "title", "if(is_cover, null, coalesce(nullif(type, ''), 'part bodymatter')) as type", "author", "url",
         "exclude_from_toc", "before_toc", "is_cover",
     )
 
@@ -118,7 +119,7 @@ def manifest(books: DataFrame, chapter_rows: DataFrame, media: DataFrame, versio
     return rows.selectExpr("book_id", number, "id", "href", "media_type", "properties")
 
 
-def navigation(books: DataFrame, chapter_rows: DataFrame, show_toc: bool = False, toc_title: str = "Table Of Contents",
+def navigation(books: DataFrame, chapter_rows: DataFrame, show_toc: bool = False, toc_title: str = TOC_TITLE,
                version: int = 3) -> DataFrame:
     """Reading order (``spine``) and table of contents (``ncx``), each numbered from 0.
 
@@ -149,3 +150,35 @@ def navigation(books: DataFrame, chapter_rows: DataFrame, show_toc: bool = False
         .selectExpr("*", "row_number() over (partition by book_id, kind order by grp, no) - 1 as nav_no")
         .selectExpr("book_id", "nav_no", "kind", "id", "href", "if(kind = 'ncx', label, null) as label", "linear")
     )
+
+
+def contents(books: DataFrame, chapter_rows: DataFrame, show_toc: bool = False) -> DataFrame:
+    """What the contents page shows: ``book_id, part, entry_no, type, href, label, author, url``.
+
+    ``part`` contents: the chapters that are not excluded, those before the contents first, without numbers in their labels,
+    with author and address where they have them. ``part`` landmarks: the cover, the contents page when shown, and
+    the first of those chapters as the start of the text. Everything comes of one aggregation per book and its own row.
+    """
+    entry = (
+        "struct(not before_toc as later, chapter_no, href, coalesce(nullif(title, ''), concat('Chapter ', chapter_no + 1)) as label,"
+        " nullif(array_join(author, ','), '') as author, nullif(url, '') as url)"
+    )
+    listed = chapter_rows.filter("not exclude_from_toc").groupBy("book_id").agg(*exprs(
+        f"array_sort(collect_list({entry})) as entries", "min(struct(chapter_no, href)).href as start",
+    ))
+    row = lambda part, no, kind, href, label, author="null", url="null": (
+        f"named_struct('part', '{part}', 'entry_no', {no}, 'type', {kind}, 'href', {href}, 'label', {label},"
+        f" 'author', cast({author} as string), 'url', cast({url} as string))"
+    )
+    shown = f"transform(entries, (e, i) -> {row('contents', 'i', 'cast(null as string)', 'e.href', 'e.label', 'e.author', 'e.url')})"
+    marks = [f"if(cover is not null, {row('landmarks', '0', "'cover'", "'cover.xhtml'", "'Cover'")}, null)"]
+    if show_toc:
+        marks.append(row("landmarks", "1", "'toc'", "'#toc'", "'Table of Contents'"))
+    marks.append(f"if(start is not null, {row('landmarks', '2', "'bodymatter'", 'start', "'Start of Content'")}, null)")
+    rows = books.select("book_id", "cover").join(listed, "book_id", "left").selectExpr(
+        "book_id", f"explode(filter(concat(array({', '.join(marks)}), coalesce({shown}, array())), r -> r is not null)) as r"
+    )
+    number = "row_number() over (partition by book_id, part order by r.entry_no) - 1 as entry_no"
+    return rows.selectExpr("book_id", "r", "r.part as part").selectExpr(
+        "book_id", "part", number, "r.type as type", "r.href as href", "r.label as label", "r.author as author", "r.url as url"
+    )

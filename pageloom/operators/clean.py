@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 
 from pageloom.functions import one_of, pattern, text
 from pageloom.functions.media import canonical_extension, local_href, reference_kind
-from pageloom.functions.markup import attr
+from pageloom.functions.markup import NO_ATTRS, attr
 from pageloom.functions.vocab import ALLOWED_ATTRIBUTES, ALLOWED_LEGACY_TAGS, LINK_ATTRIBUTES, SAFE_TAGS, UNSAFE_TAGS
+from pageloom.operators.lookup import salted_lookup
 from pageloom.operators.repair import inside
 from pageloom.operators.tree import exprs
 
@@ -62,13 +63,34 @@ def keep_listed(attrs: DataFrame, allowed: DataFrame | None = None, keep: str =
     return rows.withColumns(dict(zip(("value",), exprs(clean_value("name", "value")))))
 
 
+def listed(rows: DataFrame, key: str, names: DataFrame, mark: str) -> DataFrame:
+    """Add ``mark``: whether ``key`` is among the ``name`` of a table. ``className`` stands for ``class``; common names are spread
+    over tasks, and the table's size is Spark's to check."""
+    table = names.selectExpr(f"if(name = 'className', 'class', name) as {key}").distinct().selectExpr(key, f"true as {mark}")
+    return salted_lookup(rows, table, key, "page_id").selectExpr(*rows.columns, f"coalesce({mark}, false) as {mark}")
+
+
+def _listed_attributes(content: DataFrame, names: DataFrame) -> DataFrame:
+    """Keep the attributes whose names are in a table: as rows, which are put together again by element."""
+    keys = ["page_id", "node_id", "sub"] if "sub" in content.columns else ["page_id", "node_id"]
+    rows = content.selectExpr(*keys, "posexplode(attrs) as (attr_no, a)").selectExpr(*keys, "attr_no", "a.name as name", "a")
+    kept = listed(rows, "name", names, "is_listed").filter("is_listed").groupBy(*keys)
+    kept = kept.agg(*exprs("transform(array_sort(collect_list(struct(attr_no, a))), x -> x.a) as listed_attrs"))
+    joined = content.join(kept, keys, "left")
+    return joined.selectExpr(*[f"if(attrs is null, null, coalesce(listed_attrs, {NO_ATTRS})) as attrs" if c == "attrs" else c for c in content.columns])
+
+
 def clean_attributes(
-    content: DataFrame, allowed: Sequence[str] = ALLOWED_ATTRIBUTES, keep: str = "false"
+    content: DataFrame, allowed: Sequence[str] | DataFrame = ALLOWED_ATTRIBUTES, keep: str = "false"
 ) -> DataFrame:
-    """The same rules on the attribute arrays of content rows; images get a text when they have none."""
+    """The same rules on the attribute arrays of content rows; images get a text when they have none. The list may be a table."""
+    if isinstance(allowed, DataFrame):
+        content, by_name = _listed_attributes(content, allowed), "true"
+    else:
+        by_name = one_of("a.name", html_names(allowed))
     kept = (
         f"filter(attrs, a -> {is_safe('tag', 'a.name', 'a.value', keep)} and (a.name != 'type' or a.value <=> 'script')"
-        f" and {one_of('a.name', html_names(allowed))})"
+        f" and {by_name})"
     )
     valued = f"transform({kept}, a -> named_struct('name', a.name, 'value', {clean_value('a.name', 'a.value')}))"
     missing = f"tag = 'img' and coalesce({attr('attrs', 'alt')}, '') = ''"
@@ -78,8 +100,11 @@ def clean_attributes(
     ))))
 
 
-def legacy_tags(content: DataFrame, allowed: Sequence[str] = ALLOWED_LEGACY_TAGS) -> DataFrame:
-    """Version 2 output: a tag that is not listed becomes ``div``."""
+def legacy_tags(content: DataFrame, allowed: Sequence[str] | DataFrame = ALLOWED_LEGACY_TAGS) -> DataFrame:
+    """Version 2 output: a tag that is not listed becomes ``div``. The list may be a table."""
+    if isinstance(allowed, DataFrame):
+        rows = listed(content, "tag", allowed, "is_listed")
+        return rows.selectExpr(*["if(kind = 'element' and not is_listed, 'div', tag) as tag" if c == "tag" else c for c in content.columns])
     mapped = f"if(kind = 'element' and not {one_of('tag', allowed)}, 'div', tag)"
     return content.withColumns(dict(zip(("tag",), exprs(mapped))))
 

@@ -34,7 +34,9 @@ class Corpus:
     walk of all formats of an address.
 
     ``types`` is a table of media types (``ext, media_type, canonical_ext``) in place of the shipped one; ``video_hosts`` and
-    ``quote_hosts`` are the short hosts whose frames and quotes may be downloads; ``legacy`` are the tags of version 2.
+    ``quote_hosts`` are the short hosts whose frames and quotes may be downloads; ``legacy`` are the tags of version 2. It and
+    ``allowed_attributes`` may be tables with a column ``name``. ``extra_chapters`` (see ``book.chapters``), ``fonts`` and
+    ``toc_title`` go into every book that they name or that there is.
 
     ``meta`` may supply ``page_id, published_time, byline, site_name`` that override what pages say.
     """
@@ -52,7 +54,7 @@ class Corpus:
         show_toc: bool = False,
         per_figure: bool = False,
         picture_types: Sequence[str] = PICTURE_TYPES,
-        allowed_attributes: Sequence[str] = ALLOWED_ATTRIBUTES,
+        allowed_attributes: Sequence[str] | DataFrame = ALLOWED_ATTRIBUTES,
         keep_attribute: str = "false",
         rewrites: Sequence[Callable[[DataFrame], DataFrame]] = (),
         clustered: bool = False,
@@ -62,7 +64,10 @@ class Corpus:
         preferences: DataFrame | None = None,
         video_hosts: Sequence[str] = VIDEO_HOSTS,
         quote_hosts: Sequence[str] = QUOTE_HOSTS,
-        legacy: Sequence[str] = ALLOWED_LEGACY_TAGS,
+        legacy: Sequence[str] | DataFrame = ALLOWED_LEGACY_TAGS,
+        extra_chapters: DataFrame | None = None,
+        fonts: Sequence[str] = (),
+        toc_title: str = book.TOC_TITLE,
     ) -> None:
         self.spark = tune(spark)
         self.pages = pages
@@ -74,6 +79,7 @@ class Corpus:
         self.clustered, self.by_request = clustered, by_request
         self.types, self.preferences, self.legacy = types, preferences, legacy
         self.video_hosts, self.quote_hosts = video_hosts, quote_hosts
+        self.extra_chapters, self.fonts, self.toc_title = extra_chapters, tuple(fonts), toc_title
         self.partitions = partitions or partitions_for(pages.select("page_id", "html"))
         self.stages = Stages(self.spark, self.partitions)
 
@@ -237,21 +243,25 @@ class Corpus:
 
     @cached_property
     def chapters(self) -> DataFrame:
-        return book.chapters(self.books)
+        return book.chapters(self.books, self.extra_chapters)
 
     @cached_property
     def manifest(self) -> DataFrame:
-        return book.manifest(self.books, self.chapters, self.media, self.version)
+        return book.manifest(self.books, self.chapters, self.media, self.version, self.fonts)
 
     @cached_property
     def navigation(self) -> DataFrame:
-        return book.navigation(self.books, self.chapters, self.show_toc, version=self.version)
+        return book.navigation(self.books, self.chapters, self.show_toc, self.toc_title, self.version)
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        return book.contents(self.books, self.chapters, self.show_toc)
 
     def outputs(self) -> dict[str, DataFrame]:
         """Every output table by its name."""
         return {
             "articles": self.articles, "rejects": self.rejects, "media": self.media, "chapters": self.chapters, "manifest": self.manifest,
-            "navigation": self.navigation, "packages": book.package_metadata(self.books, self.run_ts, self.media),
+            "navigation": self.navigation, "contents": self.contents, "packages": book.package_metadata(self.books, self.run_ts, self.media),
         }
 
     def write(self, folder: str, by_site: bool = False) -> None:

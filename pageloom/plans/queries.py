@@ -320,6 +320,17 @@ def book_navigation(spark, sf_dir):
     return book.navigation(corpus.books, corpus.chapters, show_toc=True)
 
 
+@query
+def book_contents(spark, sf_dir):
+    """The contents list and landmarks of every book, with a further chapter for books whose number three divides."""
+    corpus = _corpus(spark, sf_dir, "rich")
+    extra = corpus.books.filter("book_id % 3 = 0").selectExpr(
+        "book_id", "3 as slot", "'' as title", "cast(null as string) as filename", "'notes' as type", "array('A', 'B') as author",
+        "concat('https://n.example/', book_id) as url", "false as exclude_from_toc", "book_id % 2 = 0 as before_toc",
+    )
+    return book.contents(corpus.books, book.chapters(corpus.books, extra), show_toc=True)
+
+
 @query
 def package_metadata(spark, sf_dir):
     corpus = _corpus(spark, sf_dir, "rich")

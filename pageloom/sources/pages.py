@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom import schemas
+from pageloom.functions import let
 from pageloom.operators.lookup import salted_lookup
 
 REQUEST_DEFAULTS = {
@@ -60,17 +61,31 @@ def read_media_log(source, path: str) -> DataFrame:
     )
 
 
-def read_media_info(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """One JSON object per line, or with ``whole_files`` one over the lines of each file; bad ones land in ``_corrupt_record``."""
+def read_media_info(spark: SparkSession, path: str, whole_files: bool | None = None) -> DataFrame:
+    """Media infos of files: each file is one JSON object, else one object per line; bad ones land in ``_corrupt_record``.
+
+    A file is what the tool printed for one address, a value of one row. For large files of lines pass ``whole_files=False``, for
+    large objects ``True``: then nothing is tried, and lines are split over tasks.
+    """
+    if whole_files is None:
+        return parse_media_info(spark.read.text(path, wholetext=True), "value").select("info.*")
     return spark.read.schema(schemas.MEDIA_INFO).option("mode", "PERMISSIVE").option("multiLine", whole_files).json(path)
 
 
 def parse_media_info(rows: DataFrame, column: str = "json") -> DataFrame:
-    """The same from a text column, with one object per line inside it."""
+    """The same from a text column: ``info`` for each object of a text.
+
+    A text whose first line is an object by itself has one per line; any other is one object over its lines. Where neither
+    can be read, the text lands whole in ``_corrupt_record``. Empty and null texts give no row.
+    """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.MEDIA_INFO.fields)
+    info = lambda text: f"from_json({text}, '{fields}', map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt_record'))"
+    lines = f"filter(split({column}, '\\r?\\n'), x -> trim(x) != '')"
     return (
-        rows.selectExpr("*", f"explode_outer(split({column}, '\\n')) as info_line")
-        .filter("length(trim(info_line)) > 0")
-        .selectExpr("*", f"from_json(info_line, '{fields}', map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt_record')) as info")
-        .drop("info_line")
-    )
+        rows.selectExpr("*", f"{lines} as info_lines")
+        .filter("size(info_lines) > 0")
+        # By a name, or only that field would be read, and nothing can be wrong with it.
+        .selectExpr("*", f"trim(info_lines[0]) like '{{%' and {let(info('info_lines[0]'), 'first', 'first._corrupt_record is null')} as by_line")
+        .selectExpr("*", f"explode(if(by_line, info_lines, array(trim({column})))) as info_text")
+        .selectExpr(*rows.columns, f"{info('info_text')} as info")
+    )

@@ -312,6 +312,36 @@ def test_a_table_of_types_counts_everywhere(spark, pages):
     assert 'src="https://www.site.example/dir/b.jpg"' in html and (cover.href, cover.media_type) == ("cover.cov", "image/x-cov")
 
 
+def test_lists_as_tables_give_the_same(spark, pages):
+    body = f"<article>{FILLER}<mark class='c' data-x='1' title='t' onclick='a()'>m<img src='a.png' alt='' width='3'><br></mark><p>n</p><audio src='a.mp3' controls></audio></article>"
+    names, tags = ("title", "className", "alt", "src", "controls"), ("p", "img", "br")
+    table = lambda values: spark.createDataFrame([(v,) for v in (*values, values[0])], "name string")
+    for version in (3, 2):
+        found = []
+        for given in (dict(allowed_attributes=names, legacy=tags), dict(allowed_attributes=table(names), legacy=table(tags))):
+            made = Corpus(spark, pages(page(body), page(f"<article>{FILLER}</article>")), RUN_TS, version=version, **given)
+            found.append(sorted((r.page_id, r.content_html) for r in made.html.collect()))
+            made.release()
+        assert found[0] == found[1] and 'class="c" title="t"' in found[0][0][1] and "data-x" not in found[0][0][1]
+
+
+def test_chapters_fonts_and_title_of_the_caller(spark, pages):
+    extra = spark.createDataFrame(
+        [(0, 3, "Notes", None, None, ["n"], False, True, "https://n.org")],
+        "book_id long, slot int, title string, filename string, type string, author array<string>, exclude_from_toc boolean, before_toc boolean, url string",
+    )
+    made = Corpus(spark, pages(page(f"<article>{FILLER}</article>")), RUN_TS, extra_chapters=extra, fonts=("f.ttf",), toc_title="Inhalt", show_toc=True)
+    contents = [(r.part, r.label, r.author, r.url) for r in made.contents.orderBy("part", "entry_no").collect()]
+    labels = [r.label for r in made.navigation.filter("kind = 'ncx'").orderBy("nav_no").collect()]
+    files = [r.href for r in made.manifest.orderBy("item_no").collect()]
+    made.release()
+    assert contents == [
+        ("contents", "Notes", "n", "https://n.org"), ("contents", "T", None, None), ("contents", "References", None, None),
+        ("landmarks", "Table of Contents", None, None), ("landmarks", "Start of Content", None, None),
+    ]
+    assert labels == ["3. Notes", "Inhalt", "1. T", "2. References"] and files[-1] == "fonts/f.ttf"
+
+
 @pytest.mark.parametrize(
     "rows, cap, wanted",
     [

@@ -40,8 +40,8 @@ def log_folder(tmp_path):
     folder = tmp_path / "log"
     folder.mkdir()
     for part in range(3):
-        text = "\n".join("\t".join(map(str, (d, a, ts, line.replace("\r", "\\r")))) for d, a, ts, line in rows[part::3])
-        (folder / f"part-{part}.txt").write_text(text + "\n")
+        text = "\n".join("\t".join(map(str, (d, a, ts, line))) for d, a, ts, line in rows[part::3])
+        (folder / f"part-{part}.txt").write_bytes((text + "\n").encode())
     return str(folder)
 
 
@@ -219,12 +219,30 @@ def test_convert_stream_equals_batch(spark, page_folder, tmp_path):
         live_pages.read_converted(spark, str(tmp_path / "none"))
 
 
+def test_carriage_returns_part_events(spark, log_folder):
+    rows = downloads.log_events(read_media_log(spark.read, log_folder)).filter("download_id = 3").orderBy("line_no").collect()
+    assert [(r.line, r.event_type) for r in rows if r.event_type != "error"] == [("[info] x", "info"), ("[download] 1.0% of 2.00MiB", "download")]
+
+
 def test_media_info(spark, tmp_path):
-    (tmp_path / "info.json").write_text('{"id": "a", "duration": 1.5, "other": 1}\n{"id": "b"}\nnot json\n')
-    rows = read_media_info(spark, str(tmp_path / "info.json")).collect()
+    lines = '{"id": "a", "duration": 1.5, "other": 1}\n{"id": "b"}\nnot json\n'
+    (tmp_path / "info.json").write_text(lines)
+    rows = read_media_info(spark, str(tmp_path / "info.json"), whole_files=False).collect()
     assert [r.id for r in rows] == ["a", "b", None] and rows[2]["_corrupt_record"] == "not json"
-    texts = spark.createDataFrame([(1, '{"id": "a"}\n{"id": "b", "ext": "mp4"}\n'), (2, '{"id": "c"}')], "n int, json string")
-    assert sorted((r.n, r.info.id) for r in parse_media_info(texts).collect()) == [(1, "a"), (1, "b"), (2, "c")]
+    # One call reads whole objects and lines.
+    folder = tmp_path / "infos"
+    folder.mkdir()
+    (folder / "1.json").write_text(lines)
+    (folder / "2.json").write_text('{\n  "id": "c",\n  "formats": [\n    {"format_id": "18"},\n    {"format_id": "22"}\n  ]\n}\n')
+    (folder / "3.json").write_text('{"id": "d"}')
+    (folder / "4.json").write_text("")
+    (folder / "5.json").write_text("oops\n{")
+    rows = read_media_info(spark, str(folder)).collect()
+    assert sorted(r.id or "" for r in rows) == ["", "", "a", "b", "c", "d"]
+    assert sorted(r["_corrupt_record"] for r in rows if r["_corrupt_record"]) == ["not json", "oops\n{"]
+    assert {r.id: r.duration for r in rows}["a"] == 1.5
+    texts = spark.createDataFrame([(1, '{"id": "a"}\n{"id": "b", "ext": "mp4"}\n'), (2, '{"id": "c"}'), (3, '{\n"id": "d"}'), (4, None)], "n int, json string")
+    assert sorted((r.n, r.info.id) for r in parse_media_info(texts).collect()) == [(1, "a"), (1, "b"), (2, "c"), (3, "d")]
 
 
 def test_requests_override_defaults(spark):
