@@ -90,8 +90,8 @@ def cluster(rows: DataFrame, column: str = "embedding", dims: int = 64, scale: i
     centroids = fit(vectors, k, rounds, salt)
     if not centroids:
         return rows.sparkSession.createDataFrame([], RESULT)
-    assigned = vectors.select("vec_id", nearest(centroids).alias("near")).select("vec_id", F.col("near.cluster").alias("cluster"), "near.distance")
-    assigned = written(assigned, "assigned")
+    # The struct is written as it is: asking for its fields first would compute it for each.
+    assigned = written(vectors.select("vec_id", nearest(centroids).alias("near")), "assigned").select("vec_id", "near.cluster", "near.distance")
     sums = dict(assigned.groupBy("cluster").agg(_saturated(F.sum(F.col("distance").cast("decimal(19,0)"))).alias("d")).collect())
     inertia = _literal([sums.get(c, 0) for c in range(len(centroids))])
     digests = _literal([hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids], "")
