@@ -96,8 +96,10 @@ def file_name(published: str, title: str) -> str:
 
 
 def output_path(name: str, site: str, output: str = "null", path: str = "null", subfolders: str = "false") -> str:
-    """An explicit output wins; otherwise base folder, optional site folder, file name."""
-    base = f"coalesce(nullif({path}, ''), '.')"
+    """An explicit output wins; otherwise base folder, optional site folder, file name, joined as paths are: without empty and
+    ``.`` parts of the base. Without a base folder the path starts with the next part."""
+    bare = f"regexp_replace(regexp_replace({path}, {pattern(r'/(?:\./|/)+')}, '/'), {pattern(r'^(?:\./)+|/\.?$')}, '')"
+    base = f"case when {path} = '/' then '' when {path} in ('', '.', './') then null else nullif({bare}, '') end"
     made = f"concat_ws('/', {base}, case when {subfolders} then {site} end, {name})"
     return f"coalesce(nullif({output}, ''), {made})"
 

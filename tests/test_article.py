@@ -145,7 +145,7 @@ def test_metadata(corpus):
     assert five.file_name == "2024-02-03_best.epub" and five.site == "site.example"
     assert rows[0].title == "T" and rows[0].author == "site.example"
     assert five.provenance.published == "Sat, 03 Feb 2024 04:05:06 GMT"
-    same = [r for r in rows.values() if r.output_path == "./2025-01-06_t.epub"]
+    same = [r for r in rows.values() if r.output_path == "2025-01-06_t.epub"]
     assert len(same) > 1 and [r.page_id for r in same if r.is_latest] == [max(r.page_id for r in same)]
 
 

@@ -57,7 +57,10 @@ def test_file_name_and_path(value):
     name = naming.file_name("timestamp_ntz '2025-01-06 10:00:00'", "t")
     assert value(name, t="Linux boot partitions") == "2025-01-06_linux-boot-partitions.epub"
     path = naming.output_path("n", "s", "o", "p", "f = 'y'")
-    assert value(path, n="n.epub", s="0pointer.net", o=None, p=None, f="y") == "./0pointer.net/n.epub"
+    assert value(path, n="n.epub", s="0pointer.net", o=None, p=None, f="y") == "0pointer.net/n.epub"
+    joined = {None: "n", "": "n", ".": "n", "./": "n", "././": "n", "lib": "lib/n", "./lib/": "lib/n", "/": "/n", "/a//b/./c/": "/a/b/c/n", "a/.": "a/n", ".a": ".a/n"}
+    for given, wanted in joined.items():
+        assert value(path, n="n", s="s", o=None, p=given, f="n") == wanted, given
     assert value(path, n="n.epub", s="a", o=None, p="lib", f="n") == "lib/n.epub"
     assert value(path, n="n.epub", s="a", o="x/y.epub", p="lib", f="y") == "x/y.epub"
 
