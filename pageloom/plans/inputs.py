@@ -71,7 +71,7 @@ select p.page_id, p.url, p.html,
   case p.page_id % 4 when 0 then 'by Author ' || cast(p.page_id % 11 as string) when 1 then 'Author ' || cast(p.page_id % 11 as string)
     when 2 then 'by ' else null end as byline,
   case when p.page_id % 3 = 0 then null else 'Site ' || cast(p.page_id % 5 as string) end as site_name
-from pages p join events e on e.event_id = p.page_id
+from pages p left join events e on e.event_id = p.page_id
 """
 
 # Every page once more under a new id, damaged in one of four ways.
