@@ -13,6 +13,8 @@ from pageloom.sources.stages import shared_folder
 
 #: Bytes of text that one bucket of an exchange or one block of documents stands for.
 BUCKET_BYTES = 12 << 20
+#: Folders that each application has made in the shared folder.
+_MADE: dict[str, list[str]] = {}
 
 
 def importable(spark: SparkSession) -> None:
@@ -36,7 +38,17 @@ def without(rows: DataFrame, *names: str) -> DataFrame:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder that all executors share."""
-    return f"{shared_folder(spark)}/pageloom-llm/{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{shared_folder(spark)}/pageloom-llm/{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators have written in this application. Call it once their results are written: until then
+    they are read from these tables."""
+    for folder in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:

@@ -8,12 +8,13 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from pageloom.llm import centroids, simhash, turns
+from pageloom.llm import centroids, frames, simhash, turns
 from tests.llm.conftest import corpus
 from tests.llm.test_repeats_near import LOW, words
 
@@ -328,3 +329,13 @@ def test_texts_and_batches_do_not_matter(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got), key=repr) == repaired(rows)
+
+
+def test_written_tables_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(frames, "_MADE", {})
+    kept = frames.written(spark.range(5), "five")
+    folder = Path(frames._MADE[spark.sparkContext.applicationId][0])
+    assert kept.count() == 5 and folder.is_dir()
+    frames.release(spark)
+    assert not folder.exists() and not frames._MADE
+    frames.release(spark)
