@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions import let
 from pageloom.llm.frames import written
 
 RESULT = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
@@ -53,10 +54,15 @@ def _literal(values: list, kind: str = "L") -> str:
 
 
 def nearest(centroids: Centroids, column: str = "v"):
-    """Struct (distance, cluster) of the nearest centroid; of equal distances the smaller number."""
-    held = "array(" + ", ".join(_literal(c) for c in centroids) + ")"
-    distance = f"aggregate(zip_with(`{column}`, c, (x, y) -> (x - y) * (x - y)), 0L, (s, d) -> s + d)"
-    return F.expr(f"array_min(transform({held}, (c, i) -> named_struct('distance', {distance}, 'cluster', i)))")
+    """Struct (distance, cluster) of the nearest centroid; of equal distances the smaller number.
+
+    A distance is the two squared lengths less twice the product, in whole numbers: the vector's length is found once, the
+    centroid's is a literal, so the lambda over the components only multiplies.
+    """
+    held = "array(" + ", ".join(f"named_struct('v', {_literal(c)}, 'squares', {sum(x * x for x in c)}L)" for c in centroids) + ")"
+    product = f"aggregate(zip_with(`{column}`, c.v, (x, y) -> x * y), 0L, (s, p) -> s + p)"
+    least = f"array_min(transform({held}, (c, i) -> named_struct('distance', own + c.squares - 2L * {product}, 'cluster', i)))"
+    return F.expr(let(f"aggregate(`{column}`, 0L, (s, x) -> s + x * x)", "own", least))
 
 
 def next_centroids(vectors: DataFrame, centroids: Centroids) -> Centroids:
