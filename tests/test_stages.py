@@ -1,5 +1,6 @@
 import pytest
 
+from pageloom.session import tune
 from pageloom.sources.pages import read_pages
 from pageloom.sources.stages import SETTING, Stages, partitions_for, shared_folder
 
@@ -11,6 +12,18 @@ def test_partitions_follow_the_files(spark):
     assert partitions_for(unknown) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_partitions_hold_few_bytes_of_pages(spark):
+    # Up to 200 bytes of a task's memory for each byte of page files: 4 MB of them are well below the memory of a task.
+    cores = spark.sparkContext.defaultParallelism
+    pages = spark.range((cores + 3) * (4 << 20) // 8)
+    assert partitions_for(pages) >= cores + 3
+
+
+def test_generated_methods_can_be_compiled(spark):
+    # The JVM interprets methods of more than 8,000 bytes for ever.
+    assert int(tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 class Unset:
     """A session without the setting."""
 
