@@ -18,6 +18,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +34,8 @@ from pageloom.llm.frames import without
 
 LEAF = 4096
 WINDOW = 8
-#: Matches whose ids a worker remembers, twice over.
-REMEMBERED = 500_000
+#: Matches whose ids a worker remembers, twice over: some 250 bytes each, which the worker keeps for whatever it runs next.
+REMEMBERED = 100_000
 MOST_BYTES = 64 << 20
 _NONE = 1 << 60
 #: A space after white space, where a cut is no proven edge. What counts as white space here is what ``isspace`` says.
@@ -54,9 +55,12 @@ class Bpe:
         self.matches = regex.compile(self.pattern).findall
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank of the token that two tokens, by their ranks, make together. Workers that only decode do without."""
         get = self.ranks.get
-        #: Rank of the token that two tokens, by their ranks, make together.
-        self.pairs = {
+        return {
             a << 32 | b: r
             for t, r in self.ranks.items()
             for i in range(1, len(t))

@@ -13,12 +13,16 @@ from pageloom.sources.stages import shared_folder
 
 #: Bytes of text that one bucket of an exchange or one block of documents stands for.
 BUCKET_BYTES = 12 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker. Both hold a batch and its copies for each running task, and neither
+#: gives all of that back afterwards; Spark's 64 MB would be tens of thousands of texts at once.
+BATCH_BYTES = 4 << 20
 #: Folders that each application has made in the shared folder.
 _MADE: dict[str, list[str]] = {}
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; a cluster has it installed."""
+    """Let Python workers import this package from where the driver has it; a cluster has it installed. They get small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     held = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in held.split(os.pathsep):

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from pageloom.llm import backoff, bpe, chat, contamination, factors, stats, token_files, toxicity, trees
 from pageloom.llm import words as W
-from pageloom.llm.frames import new_folder
+from pageloom.llm.frames import BATCH_BYTES, importable, new_folder
 from tests.llm.conftest import BENCHMARK, corpus
 from tests.llm.test_repeats_near import LOW, words
 
@@ -232,6 +232,18 @@ def test_byte_bpe_like_the_library(docs, monkeypatch):
         assert own.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_workers_hold_little(spark):
+    importable(spark)
+    texts = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('abcdefgh', 400) as text")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 1.1 * BATCH_BYTES
+    own = bpe.Bpe({bytes([b]): b for b in range(256)} | {b"ab": 256}, public_tokenizers.PATTERN)
+    assert own.decode(np.array([256, 99])) == b"abc" and "pairs" not in vars(own)
+    for i in range(3 * bpe.REMEMBERED // 1000):
+        own.codes([f"{k:x}" for k in range(1000 * i, 1000 * i + 1000)], False)
+    assert 0 < len(own.known) + len(own.old) <= 200_000
+
+
 def test_byte_bpe_does_not_depend_on_what_is_remembered():
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
